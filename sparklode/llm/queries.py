@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_rows, table
-from . import credentials
+from . import bpe, credentials
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,3 +27,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     now = current_rows(table(spark, folder, "chunks"), ["fileId", "text"])
     return credentials.redact_rows(now)
+
+
+@query
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, folder, "documents"))
