@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_rows, table
-from . import bpe, credentials
+from . import bpe, credentials, packing
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -32,3 +32,8 @@ def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"))
+
+
+@query
+def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "size_limits"))
