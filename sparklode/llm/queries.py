@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_rows, table
-from . import bpe, credentials, packing
+from . import bpe, credentials, packing, splitting
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,3 +37,18 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "size_limits"))
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_pieces(spark, folder).where("piece = 0").select("id")
+
+
+@query
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, folder, "chunks"), table(spark, folder, "size_limits"))
+
+
+ORACLES["p6_found"] = """
+WITH now AS (SELECT id, kind, text, row_number() OVER (PARTITION BY id ORDER BY seenAt DESC NULLS LAST) AS k FROM chunks WHERE id IS NOT NULL)
+SELECT id FROM now JOIN size_limits ON applies_to = 'chunks.' || kind WHERE k = 1 AND unit = 'characters' AND length(text) > max_size"""
