@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_rows, table
-from . import bpe, credentials, packing, splitting
+from . import bpe, credentials, packing, splitting, terms
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -52,3 +52,44 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["p6_found"] = """
 WITH now AS (SELECT id, kind, text, row_number() OVER (PARTITION BY id ORDER BY seenAt DESC NULLS LAST) AS k FROM chunks WHERE id IS NOT NULL)
 SELECT id FROM now JOIN size_limits ON applies_to = 'chunks.' || kind WHERE k = 1 AND unit = 'characters' AND length(text) > max_size"""
+
+
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact weight tf * ln(N / df) over the operator's scored rows, whose df and N are the sums of the fitted histograms."""
+    scored, names, total = terms.score_terms(terms.records(table(spark, folder, "chunks")))
+    weight = F.round(F.col("tf") * F.log(F.lit(float(total)) / F.col("df")), 6)
+    best = scored.where("df >= 2").groupBy("rid").agg(F.min(F.struct((-weight).alias("w"), "term")).alias("b"))
+    return best.join(names, "rid").select("id", F.col("b.term").alias("term"))
+
+
+@query
+def p4_weights(spark: SparkSession, folder: str) -> DataFrame:
+    scored, names, total = terms.score_terms(terms.records(table(spark, folder, "chunks")))
+    idf = F.round(F.col("tf") * F.log(F.lit(float(total)) / F.col("df")), 6)
+    return scored.join(names, "rid").select("id", "term", "tf", "df", F.round("elite", 6).alias("elite"), idf.alias("tfidf"))
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    marked = terms.marked_terms(terms.records(table(spark, folder, "chunks")))
+    return marked.where("mark IS NOT NULL").select(F.col("ngram")[0].alias("term"), "mark")
+
+
+@query
+def p7_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    marked = terms.marked_terms(terms.records(table(spark, folder, "chunks")), (1, 2, 3))
+    return marked.select(F.array_join("ngram", " ").alias("ngram"), F.size("ngram").alias("n"), "occurrences", "records", "mark")
+
+
+_TERMS = """
+WITH now AS (SELECT id, tokens, row_number() OVER (PARTITION BY id ORDER BY seenAt DESC NULLS LAST) AS k FROM chunks WHERE id IS NOT NULL),
+words AS (SELECT id, lower(trim(t)) AS term FROM (SELECT id, unnest(tokens) AS t FROM now WHERE k = 1) WHERE t IS NOT NULL AND trim(t) <> ''),
+tfs AS (SELECT id, term, count(*) AS tf FROM words GROUP BY id, term),
+dfs AS (SELECT term, count(*) AS df, sum(tf) AS occurrences FROM tfs GROUP BY term),
+total AS (SELECT count(DISTINCT id) AS n FROM words)
+"""
+ORACLES["p4_found"] = _TERMS + """, ranked AS (
+  SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln(n::DOUBLE / df), 6) DESC, term) AS r FROM tfs JOIN dfs USING (term), total WHERE df >= 2)
+SELECT id, term FROM ranked WHERE r = 1"""
+ORACLES["p7_found"] = _TERMS + "SELECT term, CASE WHEN df <= 2 THEN 'rare' ELSE 'common' END AS mark FROM dfs, total WHERE df <= 2 OR df > n / 4.0"
