@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_rows, table
-from . import bpe, credentials, packing, splitting, terms
+from . import bpe, credentials, handwritten, packing, splitting, terms
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -93,3 +93,14 @@ ORACLES["p4_found"] = _TERMS + """, ranked AS (
   SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln(n::DOUBLE / df), 6) DESC, term) AS r FROM tfs JOIN dfs USING (term), total WHERE df >= 2)
 SELECT id, term FROM ranked WHERE r = 1"""
 ORACLES["p7_found"] = _TERMS + "SELECT term, CASE WHEN df <= 2 THEN 'rare' ELSE 'common' END AS mark FROM dfs, total WHERE df <= 2 OR df > n / 4.0"
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_files(spark, folder).where("why IS NOT NULL").select("id")
+
+
+@query
+def p3_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = handwritten.classify(table(spark, folder, "files"), table(spark, folder, "chunks"))
+    return files.select("id", "language", "why", "lines", "max_line", "run")
