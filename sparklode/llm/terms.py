@@ -18,8 +18,9 @@ from ..sources.tables import newest_first
 
 #: Tokens of a block: bounds a worker's memory (about 100 bytes a token), never what is counted.
 BLOCK = 1_000_000
-#: Rows of the weight table that are broadcast, the most frequent first, and the longest term among them: at most about 10 MB.
-HOT_ROWS, HOT_LENGTH = 40_000, 100
+#: A (term, tf) pair held by more than one in HOT_ROWS of all (record, term) pairs is hot. There can't be more than HOT_ROWS of
+#: them whatever the size of the corpus; with the longest term among them that bounds what is broadcast to about 10 MB.
+HOT_ROWS, HOT_LENGTH = 100_000, 100
 
 
 def records(df: DataFrame, key: str = "id", tokens: str = "tokens", at: str = "seenAt") -> DataFrame:
@@ -222,15 +223,16 @@ def term_weights(frequencies: DataFrame, total: int) -> DataFrame:
 def score_terms(rows: DataFrame, key: str = "id", terms: str = "terms") -> tuple[DataFrame, DataFrame, int]:
     """Scores every term of every record: (rid, term, tf, df, elite), the table of rid and key, and the number of records.
 
-    Terms are held by very unequal numbers of records. The weights of the HOT_ROWS most frequent (term, tf) pairs, a bound that
-    doesn't grow, are broadcast and cover most occurrences where they stand; only the others are shuffled, and each of those
-    keys holds less than one in HOT_ROWS of all. A record with null or no terms has no rows; copies of a row are scored each for
+    Terms are held by very unequal numbers of records. The weights of hot (term, tf) pairs, whose number has
+    a fixed bound, are broadcast and cover most occurrences where they stand; only the others are shuffled, and none of those keys
+    holds more than one in HOT_ROWS of all (terms above HOT_LENGTH characters aside, which AQE splits). A record with null or no terms has no rows; copies of a row are scored each for
     themselves; extra columns are not read.
     """
     held = stored(term_frequencies(rows, key, terms).withColumn("rid", F.monotonically_increasing_id()))
     total = held.count()
     weights = stored(term_weights(held, total))
-    hot = weights.where(F.length("term") <= HOT_LENGTH).orderBy(F.desc("n"), "term", "tf").limit(HOT_ROWS).select("term", "tf", "df", "elite", F.lit(True).alias("hot"))
+    pairs_in_all = weights.agg(F.sum("n").alias("n")).first().n or 0
+    hot = weights.where((F.length("term") <= HOT_LENGTH) & (F.col("n") * HOT_ROWS > pairs_in_all))
     hot = F.broadcast(hot.select("term", "tf", F.col("df").alias("hot_df"), F.col("elite").alias("hot_elite")))
     pairs = held.select("rid", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("rid", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
     near = pairs.join(hot, ["term", "tf"], "left")
