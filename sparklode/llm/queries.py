@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_rows, table
-from . import bpe, credentials, handwritten, packing, splitting, terms
+from . import bpe, credentials, docs, handwritten, packing, splitting, terms
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -104,3 +104,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_files(spark: SparkSession, folder: str) -> DataFrame:
     files = handwritten.classify(table(spark, folder, "files"), table(spark, folder, "chunks"))
     return files.select("id", "language", "why", "lines", "max_line", "run")
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return docs.pairs(table(spark, folder, "symbols")).where("id = doc_id").select("id")
+
+
+@query
+def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return docs.pairs(table(spark, folder, "symbols"))
