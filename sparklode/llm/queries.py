@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_rows, table
-from . import bpe, credentials, docs, handwritten, packing, splitting, terms
+from . import bpe, credentials, docs, handwritten, packing, splitting, terms, topics
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -114,3 +114,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return docs.pairs(table(spark, folder, "symbols"))
+
+
+@query
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_subjects(spark, folder).select("doc_id", "subject")
+
+
+@query
+def p10_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return topics.subject_areas(*[table(spark, folder, name) for name in ("documents", "doc_labels", "subjects")])
