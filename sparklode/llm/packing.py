@@ -7,7 +7,8 @@ Packers work side by side, each on its share of the rows; a share ends with at m
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left, insort
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -60,7 +61,7 @@ def pack(sizes: Sequence[int], capacity: int) -> list[tuple[int, int, int, int,
     """(item, piece, container, place, size) in the order of `sizes`.
 
     An item above the capacity is divided into full containers and one rest; nothing else is divided. An item without tokens
-    takes no room and lies at the start of the packer's first container.
+    takes no room and lies at the start of the packer's first container. When all items are placed, `close` tightens what is open.
     """
     packer, out = SumOfSquares(capacity), []
     for item, size in enumerate(sizes):
@@ -68,7 +69,35 @@ def pack(sizes: Sequence[int], capacity: int) -> list[tuple[int, int, int, int,
         if not pieces:
             out.append((item, 0, 0, 0, 0))
         out += [(item, piece, *packer.put(n), n) for piece, n in enumerate(pieces)]
-    return out
+    return close(out, capacity)
+
+
+def close(placed: list[tuple[int, int, int, int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Repacks the items of the containers that stayed open, largest first and each where it leaves least room, if that takes
+    fewer containers. With no further item to come, there is no use in keeping levels balanced."""
+    fill: dict[int, int] = {}
+    for _, _, container, _, n in placed:
+        fill[container] = fill.get(container, 0) + n
+    still = sorted(c for c, n in fill.items() if n < capacity)
+    loose = sorted((k for k, p in enumerate(placed) if p[4] and fill[p[2]] < capacity), key=lambda k: (-placed[k][4], k))
+    room: list[tuple[int, int]] = []
+    seats, used = {}, 0
+    for k in loose:
+        n = placed[k][4]
+        at = bisect_left(room, (n, -1))
+        if at < len(room):
+            left, c = room.pop(at)
+        else:
+            left, c, used = capacity, used, used + 1
+        seats[k] = (c, capacity - left)
+        if left > n:
+            insort(room, (left - n, c))
+    if used >= len(still):
+        return placed
+    # the containers keep consecutive numbers: the ones given up are filled from the end
+    kept = [c for c in range(len(fill)) if c not in set(still)]
+    names = {c: k for k, c in enumerate(kept)}
+    return [(i, piece, len(kept) + seats[k][0], seats[k][1], n) if k in seats else (i, piece, names.get(c, 0), place, n) for k, (i, piece, c, place, n) in enumerate(placed)]
 
 
 def shares(df: DataFrame, rows: int, key: str) -> tuple[Column, int]:
@@ -82,17 +111,18 @@ def fill(sized: DataFrame, capacities: dict[str, int], key: str = "doc_id", size
 
     Rows reach their packer by the hash of a key that is unique, so neither a source nor copies make one packer larger; the
     number of packers follows the number of rows. One shuffle, of key and size only. Within a packer items come in the order of
-    size, largest first, then key, which makes the result the same whatever the partitioning. Null sizes count as 0, rows with
+    another hash of the key, then key and size: as good as random, which suits the method best, and the same whatever the
+    partitioning. Null sizes count as 0, rows with
     a null key are packed too, repeated rows are placed each for themselves, an empty table gives an empty one.
     """
     if not capacities:
         raise ValueError("no container given")
-    narrow = sized.select(F.col(key), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("__size"))
+    narrow = sized.select(F.col(key), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("__size"), F.xxhash64(F.lit("order"), key).alias("__order"))
     share, count = shares(narrow, narrow.count(), key)
     kind = narrow.schema[key].dataType.simpleString()
 
     def run(groups: pd.DataFrame) -> pd.DataFrame:
-        groups = groups.sort_values(["__size", key], ascending=[False, True], kind="stable")
+        groups = groups.sort_values(["__order", key, "__size"], kind="stable")
         owner, keys, frames = int(groups["__share"].iloc[0]), groups[key].to_numpy(), []
         for name, capacity in sorted(capacities.items()):
             placed = np.array(pack(groups["__size"].tolist(), capacity), np.int64).reshape(-1, 5)
