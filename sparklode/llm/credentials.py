@@ -57,7 +57,7 @@ OPENER = re.compile(rf"(?i)(?:{PASSWORD_NAME}|{TOKEN_NAME}|\bkey)[\w]*['\"]?\]?\
 OPENING = tuple(">|=:(\\-+ \r")
 BARE = re.compile(r"^\s*[brf]?(['\"`]?)([^\s'\"`]{6,})\1\s*(?:\+|\\|\)|;|,)*\s*\\?$")
 UUID = re.compile(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
-IDENTIFIER, WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]{2,}|\d{1,4}|[_\-.$/])+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+IDENTIFIER, WORDS = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]{2,}+|\d{1,4}+|[_\-.$/])++"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HEX = re.compile(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
 PASSWORD_HASH = re.compile(r"^(?:\$2[abxy]?\$|\$argon2|\$[156]\$|\$pbkdf2|\{SSHA)|:\$2[abxy]\$")
 ENCODED = re.compile(r"(?i)data:[\w/+.\-]*;base64|base64,|sha\d{1,3}[-:=]|ssh-(?:rsa|ed25519)|-----BEGIN (?:[A-Z]+ )*(?:PUBLIC KEY|CERTIFICATE)")
