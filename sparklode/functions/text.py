@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -141,6 +142,11 @@ def bm25(tf: Column, df: Column, total: Column, length: Column, average: Column,
 PRIME, SEED, SECOND_SEED = 0x01000193, 0x811C9DC5, 0x01000193
 
 
+@lru_cache(maxsize=300_000)
+def _bucket(feature: str) -> int:
+    return fnv32(feature)
+
+
 def fnv32(text: str, seed: int = SEED) -> int:
     """FNV-1a over the UTF-16 units of `text`."""
     h = seed
@@ -206,7 +212,7 @@ def embed_text(text: str | None, width: int = WIDTH) -> list[float]:
         features["c|" + c] += (WEIGHTS["wide"] if len(c) == 1 else WEIGHTS["wide pair"]) * (1 + math.log(n))
     vector = [0.0] * width
     for name in sorted(features):  # one order, so that sums do not depend on the input's
-        h = fnv32(name)
+        h = _bucket(name)
         vector[h % width] += features[name] if h >> 24 & 1 else -features[name]
     norm = math.sqrt(sum(v * v for v in vector))
     return [v / norm for v in vector] if norm else vector

@@ -64,7 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
     if pairs.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
         return rounds(pairs)
     kind = pairs.schema["from"].dataType.simpleString()
-    return pairs.groupBy(F.lit(1)).applyInPandas(_walk, f"id {kind}, component {kind}")
+    return pairs.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(_walk, f"id {kind}, component {kind}")
 
 
 def _walk(pairs: pd.DataFrame) -> pd.DataFrame:
