@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from functools import lru_cache
 
@@ -29,11 +30,15 @@ def split_identifier(name: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """The words of all identifiers and numbers in order, with repetitions, less one-letter words and stop words. An identifier
-    without letters or digits stays as it is."""
-    found = F.regexp_extract_all(text, F.lit(f"({IDENTIFIER})"), F.lit(1))
-    parts = F.transform(found, lambda t: F.when(F.size(split_identifier(t)) > 0, split_identifier(t)).otherwise(F.array(F.lower(t))))
-    return F.filter(F.flatten(parts), lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS))
+    """The words of all identifiers and numbers in order, with repetitions, less one-letter words and stop words. An identifier of
+    underscores alone stays as it is.
+
+    Words are cut out of the whole text at once: two replacements mark the changes of case, one pattern takes the parts (a digit
+    only begins a word behind an underscore), so that no regex runs per word.
+    """
+    marked = F.regexp_replace(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    found = F.regexp_extract_all(marked, F.lit(r"((?<=_)[A-Za-z0-9]+|[A-Za-z][A-Za-z0-9]*|\d+|(?<![A-Za-z0-9_])__+(?![A-Za-z0-9_]))"), F.lit(1))
+    return F.filter(F.transform(F.filter(found, lambda w: F.length(w) >= 2), F.lower), lambda w: ~w.isin(STOP_WORDS))
 
 
 def feature_tokens(text: Column) -> Column:
@@ -188,36 +193,47 @@ WIDTH = 256
 WEIGHTS = {"word": 1.0, "part": 0.9, "identifier": 0.6, "gram": 0.35, "wide": 0.8, "wide pair": 1.1}
 
 
+_IDENTIFIERS, _WIDE = re.compile(IDENTIFIER), re.compile(f"{CJK}+")
+
+
+@lru_cache(maxsize=200_000)
+def _pieces(identifier: str) -> tuple[tuple[str, ...], frozenset[str], bool]:
+    """The words of an identifier that count, its three-letter pieces, and whether it has several parts."""
+    spaced = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", identifier))
+    parts = [p.lower() for p in re.split(r"[^A-Za-z0-9]+", spaced) if p]
+    low = identifier.lower()
+    grams = frozenset(low[k : k + 3] for k in range(len(low) - 2)) if len(low) >= 6 else frozenset()
+    return tuple(p for p in parts or [low] if len(p) > 1 and p not in STOP_WORDS), grams, len(parts) > 1
+
+
 def embed_text(text: str | None, width: int = WIDTH) -> list[float]:
     """A deterministic hashed vector of length 1 (all zero for a text without features): words with damped counts, whole
-    identifiers, their three-letter pieces, and wide characters with their pairs, each added to a signed bucket."""
-    import re
-
-    words, features = Counter(), Counter()
-    for identifier in re.findall(IDENTIFIER, text or ""):
-        parts = [p.lower() for p in re.split(r"[^A-Za-z0-9]+", re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", identifier))) if p]
-        words.update(p for p in parts or [identifier.lower()] if len(p) > 1 and p not in STOP_WORDS)
-        low = identifier.lower()
-        if len(parts) > 1:
-            features["i|" + low] = WEIGHTS["identifier"]
-        if len(low) >= 6:
-            features.update({"g|" + low[k : k + 3]: WEIGHTS["gram"] for k in range(len(low) - 2)})
-    for word, n in words.items():
-        features["w|" + word] += WEIGHTS["word"] + math.log(n)
-    wide = Counter()
-    for run in re.findall(f"{CJK}+", text or ""):
+    identifiers, their three-letter pieces, and wide characters with their pairs, each added to a signed bucket. Features of equal
+    weight are counted, others added in one order, so sums do not depend on the order of the text."""
+    words, wide, whole, grams = Counter(), Counter(), set(), set()
+    for identifier, n in Counter(_IDENTIFIERS.findall(text or "")).items():
+        parts, pieces, several = _pieces(identifier)
+        for part in parts:
+            words[part] += n
+        grams |= pieces
+        if several:
+            whole.add(identifier.lower())
+    for run in _WIDE.findall(text or ""):
         wide.update(run)
         wide.update(run[k : k + 2] for k in range(len(run) - 1))
-    for c, n in wide.items():
-        features["c|" + c] += (WEIGHTS["wide"] if len(c) == 1 else WEIGHTS["wide pair"]) * (1 + math.log(n))
-    vector = [0.0] * width
-    for name in sorted(features):  # one order, so that sums do not depend on the input's
+    vector = np.zeros(width)
+    for names, weight in ((("i|" + i for i in whole), WEIGHTS["identifier"]), (("g|" + g for g in grams), WEIGHTS["gram"])):
+        hashed = np.fromiter(map(_bucket, names), np.int64)
+        vector += weight * np.bincount(hashed % width, np.where(hashed >> 24 & 1, 1, -1), width)
+    rest = [("w|" + w, WEIGHTS["word"] + math.log(n)) for w, n in sorted(words.items())]
+    rest += [("c|" + c, (WEIGHTS["wide"] if len(c) == 1 else WEIGHTS["wide pair"]) * (1 + math.log(n))) for c, n in sorted(wide.items())]
+    for name, weight in rest:
         h = _bucket(name)
-        vector[h % width] += features[name] if h >> 24 & 1 else -features[name]
-    norm = math.sqrt(sum(v * v for v in vector))
-    return [v / norm for v in vector] if norm else vector
+        vector[h % width] += weight if h >> 24 & 1 else -weight
+    norm = float(np.linalg.norm(vector))
+    return (vector / norm).tolist() if norm else vector.tolist()
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def embed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [math.floor(v * 1e6 + 0.5) / 1e6 for v in embed_text(t)])
+    return texts.map(lambda t: (np.floor(np.array(embed_text(t)) * 1e6 + 0.5) / 1e6).tolist())

@@ -348,7 +348,7 @@ sc AS (SELECT qid, id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * (tf *
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) AS rank FROM sc) SELECT qid, rank, id AS doc_id, bm25 FROM r WHERE rank <= 20""")
 def bm25_top(spark, folder):
     """The 20 best documents for three term lists by BM25 alone."""
-    docs = table(spark, folder, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), X.tokenize(F.col("text")).alias("words"), F.lit("").alias("text"))
+    docs = stored(table(spark, folder, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), X.tokenize(F.col("text")).alias("words"), F.lit("").alias("text")))
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avg")).first()
     pairs = spark.createDataFrame([(q, t) for q, ts in enumerate((["serialize", "token", "work"], ["turbine", "throttled", "grid", "congested"], ["appeal", "deadline", "files"])) for t in ts], "qid int, term string")
     held = S.postings(docs, sorted({r.term for r in pairs.collect()}))
