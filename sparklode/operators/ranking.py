@@ -68,7 +68,7 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
             by_width.setdefault(len(v), []).append(n)
         matrices = {w: (np.array(ns), _unit(np.array([vectors[n] for n in ns], float).reshape(len(ns), w))) for w, ns in by_width.items()}
         for batch in batches:
-            keys, lists = batch.column(0).to_pylist(), batch.column(1)
+            lists = batch.column(1)
             widths = lists.value_lengths().to_numpy(zero_copy_only=False)
             for w, (ns, matrix) in matrices.items():
                 at = np.flatnonzero(widths == w)
@@ -81,7 +81,8 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
                 # rows tied with the last one taken are kept, so that the key can decide
                 floor = np.take_along_axis(score, best, 1).min(1)
                 q, r = np.nonzero(score >= floor[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[ns[a]] for a in q]), pa.array([keys[at[b]] for b in r]), pa.array(score[q, r])], ["query", "key", "similarity"])
+                kind_of = batch.column(0).type
+                yield pa.RecordBatch.from_arrays([pa.array([ids[ns[a]] for a in q], kind_of), batch.column(0).take(pa.array(at[r])), pa.array(score[q, r])], ["query", "key", "similarity"])
 
     found = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>")).mapInArrow(run, f"query {kind}, key {kind}, similarity double")
     return top(found.where("query != key").withColumn("similarity", F.round("similarity", 6)), "query", [F.desc("similarity"), F.col("key")], k)
