@@ -216,7 +216,7 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
         return []
     spans, lines, at, before = [], text.split("\n"), 0, ""
     for no, line in enumerate(lines):
-        if no in marks and len(line) > 7 or before[-1:] in OPENING and OPENER.search(before):
+        if no in marks and len(line) > 7 or before[-1:] in OPENING and " " not in line.strip() and OPENER.search(before):
             taken: list[tuple[int, int]] = []
             pem = PRIVATE_KEY.search(line)
             if pem and KEY_BODY.match(text, at + pem.end()):
@@ -238,6 +238,8 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
 
 def _worth(token: str) -> bool:
     """A cheap test before the line is looked at: digits among letters, or changes of character class."""
+    if "/" in token and token == token.lower():
+        return False  # a path; what is random and has slashes has capitals too
     return not token.isdigit() and sum(map(str.isdigit, token)) > 1 and (len(token) > 30 or len(set(token)) > 9)
 
 
