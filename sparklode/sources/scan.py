@@ -133,24 +133,37 @@ def read(spark: SparkSession, root: str, sources: DataFrame, limits: Limits = Li
 
 
 def profile(sources: DataFrame, contents: DataFrame) -> dict:
-    """The summary of a tree, from a few small aggregates: sizes, languages, kinds, entry points, manifests, and the gaps."""
-    size = sources.agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.count_if(F.col("sensitive").isNotNull()).alias("sensitive")).first()
+    """The summary of a tree, from a few small aggregates: sizes, languages, kinds, ecosystems, commands, test frameworks, entry
+    points, and the gaps with their priorities."""
+    from . import manifests as M
+
+    size = sources.agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.count_if(F.col("sensitive").isNotNull()).alias("sensitive"), F.count_if(F.col("bytes") > Limits.file_bytes).alias("big")).first()
     languages = contents.groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum("loc").alias("loc"), F.sum("bytes").alias("bytes")).orderBy(F.desc("loc"), "language").collect()
     kinds = sources.groupBy("kind").count().orderBy(F.desc("count"), "kind").collect()
     base = F.lower(base_name(F.col("path")))
     has = sources.agg(
-        F.count_if(base.isin(rules.LOCK_FILES)).alias("locks"), F.count_if(base == "package.json").alias("node"), F.count_if(base.isin("pyproject.toml", "requirements.txt", "setup.py")).alias("python"),
-        F.count_if(base.isin("pom.xml", "build.gradle", "build.gradle.kts")).alias("jvm"), F.count_if(base == "go.mod").alias("go"), F.count_if(base == "cargo.toml").alias("rust"),
-        F.count_if(base.startswith("readme")).alias("readme"), F.count_if(F.col("path").rlike(r"^(?:\.github/workflows/|\.gitlab-ci|\.circleci/|Jenkinsfile)")).alias("ci"),
+        F.count_if(base.isin(rules.LOCK_FILES)).alias("locks"), F.count_if(base.startswith("readme")).alias("readme"), F.count_if(F.col("path").rlike(r"^(?:\.github/workflows/|\.gitlab-ci|\.circleci/|Jenkinsfile)")).alias("ci"),
         F.count_if(F.col("kind") == "test").alias("tests"), F.count_if(base == ".gitignore").alias("gitignore"), F.count_if(base.rlike(r"^(?:\.eslintrc|eslint\.config|\.prettierrc|ruff\.toml|\.flake8)")).alias("lint"),
-        F.count_if((F.col("sensitive") != "env-template") & F.col("sensitive").isNotNull()).alias("secret"), F.count_if(base.startswith("dockerfile")).alias("docker")).first()
+        F.count_if(base.rlike(r"^(?:tsconfig.*\.json|mypy\.ini|pyrightconfig\.json)")).alias("types"), F.count_if((F.col("sensitive") != "env-template") & F.col("sensitive").isNotNull()).alias("secret"), F.count_if(base.startswith("dockerfile")).alias("docker")).first()
+    found = M.manifests(contents).cache()
+    ecosystems = [r.asDict() for r in found.select("ecosystem", "path", "name", "version", F.size("dependencies").alias("dependencies"), "note").orderBy("path").limit(200).collect()]
+    runs = [r.asDict() for r in M.commands(found).orderBy("rank", "path").select("preset", "command", "path").limit(50).collect()]
+    tests = [r.asDict() for r in M.frameworks(found, contents).orderBy("framework").collect()]
+    purposes = [r.asDict() for r in M.notable(found).orderBy("purpose", "name", "path").limit(100).collect()]
+    loose = M.unpinned(found).count()
+    found.unpersist()
+    marks = {r.kind: r["count"] for r in signals(contents).groupBy("kind").count().collect()}
+    unchecked = contents.where(F.lower(base_name(F.col("path"))).startswith("dockerfile") & ~F.col("content").contains("HEALTHCHECK")).count()
     entries = entry_points(contents).orderBy("path", "kind").limit(200).collect()
-    rules_of_gaps = [
-        ("sensitive-files-present", "P0", has.secret > 0), ("no-lockfile", "P1", has.node + has.python + has.rust > 0 and not has.locks), ("no-tests", "P1", not has.tests and size.files > 0), ("no-gitignore", "P1", not has.gitignore),
-        ("no-readme", "P2", not has.readme), ("no-ci", "P2", not has.ci), ("no-lint-format", "P2", not has.lint and size.files > 0)]
+    packaged = [e for e in ecosystems if e["ecosystem"] in ("node", "python", "rust", "ruby", "php")]
+    typed = any(r.language in ("javascript", "python") for r in languages)
+    gaps = [
+        ("sensitive-files-present", "P0", has.secret > 0), ("no-lockfile", "P1", bool(packaged) and not has.locks), ("no-tests", "P1", not has.tests and size.files > 0), ("no-gitignore", "P1", not has.gitignore), ("unpinned-deps", "P1", loose > 0),
+        ("no-readme", "P2", not has.readme), ("no-ci", "P2", not has.ci), ("no-lint-format", "P2", not has.lint and size.files > 0), ("no-typecheck", "P2", typed and not has.types), ("oversized-file", "P2", size.big > 0),
+        ("todo-backlog", "P3", marks.get("todo", 0) >= 20), ("debug-leftovers", "P3", marks.get("debug", 0) > 0), ("container-no-healthcheck", "P3", unchecked > 0)]
     return {
-        "size": {"files": size.files, "bytes": size.bytes or 0, "sensitive": size.sensitive}, "languages": [r.asDict() for r in languages], "kinds": {r.kind: r["count"] for r in kinds},
-        "ecosystems": [n for n in ("node", "python", "jvm", "go", "rust") if has[n]], "entrypoints": [r.asDict() for r in entries], "docker": bool(has.docker), "gaps": [{"id": g, "priority": p} for g, p, on in rules_of_gaps if on],
+        "size": {"files": size.files, "bytes": size.bytes or 0, "sensitive": size.sensitive}, "languages": [r.asDict() for r in languages], "kinds": {r.kind: r["count"] for r in kinds}, "ecosystems": ecosystems, "commands": runs, "testFrameworks": tests, "notable": purposes,
+        "signals": marks, "entrypoints": [r.asDict() for r in entries], "docker": bool(has.docker), "gaps": [{"id": g, "priority": p} for g, p, on in gaps if on],
     }
 
 
