@@ -162,6 +162,8 @@ def _on_line(line: str, before: str) -> Iterator[tuple[int, int, str]]:
     for m in [*PROSE.finditer(line), *TABLE.finditer(line), *(USER_PASS.finditer(comment.group(1)) if comment else ())]:
         shift = comment.start(1) if comment and m.re is USER_PASS else 0
         value = m.group(1).rstrip(".,")
+        if line[m.start(1) + shift - 2 : m.start(1) + shift] == "**":
+            value = value.removesuffix("**")
         if memorable(value) and not harmless(value) and not re.search(r"\.(?:go|ts|js|py|java|md|sql|sh)\b|[(<>]|^\d+$", value):
             yield m.start(1) + shift, m.start(1) + shift + len(value), "password"
     at = 0
@@ -169,6 +171,8 @@ def _on_line(line: str, before: str) -> Iterator[tuple[int, int, str]]:
         at = max(m.end(1) + 1, m.start() + 1)
         k = 3 if m.group(3) is not None else 4
         value = m.group(k) if k == 3 else m.group(k).rstrip(";,")
+        if k == 4 and "," in line[m.end(1) : m.start(k)]:
+            continue  # the next argument of a call
         found = _value_after(m.group(1), value, line, m.start(k))
         if found:
             at = m.end(k)

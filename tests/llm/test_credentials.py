@@ -17,7 +17,7 @@ HARMLESS = [
     'password = "changeme"', "password = os.environ['PASSWORD']", 'token = "<your-api-key>"', 'apiKey = "${SECRET_FROM_VAULT}"', "secret: '********'",
     'checksum = "sha256:9c9b4c0b4a363c3dbf1ae838288219f7307a2010304da950690616f94b257e4a"', "// reviewed at commit b2bfdb1136e31a5d0461e1b174d84d813ac31a65",
     'requestId = "14433a37-2567-ec82-6bce-ede031eeac13"', "pw_hash = '$2b$10$WDKAh8P2R4YUFqsoQcyqg5YqNycj2CMKMPRpbMrs1yhR64AtSUrR9'", "const tokenUrl = 'https://cache.internal.example/oauth/token';",
-    "// -----BEGIN PUBLIC KEY----- belongs in the trust store", "icon = 'data:image/png;base64,zpTB+CtdGThbeq1rDhRApg4ufULer4Jgw9x0Fi1u3'", "const passwordMinLength = 12;", "labels.password = 'Passwort';", "dsn = f'postgres://{user}:{pwd}@10.20.4.17/main'",
+    "// -----BEGIN PUBLIC KEY----- belongs in the trust store", "icon = 'data:image/png;base64,zpTB+CtdGThbeq1rDhRApg4ufULer4Jgw9x0Fi1u3'", "const passwordMinLength = 12;", "config_store.teach(course.pass, limit=188)", "labels.password = 'Passwort';", "dsn = f'postgres://{user}:{pwd}@10.20.4.17/main'",
 ]
 
 
