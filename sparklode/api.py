@@ -93,7 +93,7 @@ class Project:
         parsed = self.spark.read.parquet(f"{path}/parsed")
         tables = link(contents.drop("content"), exploded(parsed))
         tables["chunks"] = chunk(contents, tables["symbols"])
-        tables["flows"] = flows(tables)
+        tables["flows"] = flows(tables, tree.entry_points(contents.withColumnRenamed("id", "path")))
         for name in TABLES:
             tables[name].write.parquet(f"{path}/{name}")
         before = self.table("files")
@@ -159,12 +159,12 @@ def link(files: DataFrame, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def flows(t: dict[str, DataFrame], depth: int = 5, steps: int = 24) -> DataFrame:
-    """start, step, id and depth: what the handlers of routes, and exported functions that nothing calls, set in motion."""
-    starts = t["routes"].where("handlerId IS NOT NULL").select(F.col("handlerId").alias("id"))
-    free = t["symbols"].where(F.col("exported") & F.col("kind").isin(*records.FUNCTION_KINDS) & (F.col("fanIn") == 0) & (F.col("fanOut") > 0)).select("id")
-    order = t["calls"].where("from_symbol IS NOT NULL AND to_symbol IS NOT NULL AND from_symbol != to_symbol").groupBy(F.col("from_symbol").alias("from"), F.col("to_symbol").alias("to")).agg(F.min(F.struct("line", "callee")).alias("rank"))
-    return graph.walks(starts.unionByName(free).distinct(), order, depth, steps)
+def flows(t: dict[str, DataFrame], entries: DataFrame) -> DataFrame:
+    """The flows as a table of steps: start, kind, name, confidence, step, id, depth and evidence."""
+    from .operators.flows import detect
+
+    found = detect(t["routes"], t["symbols"], t["calls"], entries)
+    return found.select("start", "kind", "name", "confidence", F.explode("steps").alias("s")).select("start", "kind", "name", "confidence", F.col("s.order").alias("step"), "s.id", "s.depth", "s.evidence")
 
 
 def chunk(contents: DataFrame, symbols: DataFrame, header: int = 40, most: int = 4000) -> DataFrame:

@@ -52,3 +52,14 @@ def drop_rate(checked: DataFrame) -> DataFrame:
     """How many references there are, how many fail, and their share."""
     bad = F.count_if(~F.col("verdict").isin("ok", "ambiguous"))
     return checked.agg(F.count(F.lit(1)).alias("checked"), bad.alias("dropped"), F.round(bad / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("drop_rate"))
+
+
+def sanitize(texts: DataFrame, key: str, files: DataFrame, symbols: DataFrame, text: str = "text") -> DataFrame:
+    """`texts` without the sentences that cite what does not exist, and `dropped`, how many those were. A sentence ends at a line
+    end or behind a full stop, question or exclamation mark that white space or a wide character follows."""
+    pieces = texts.select(key, F.posexplode(F.split(text, r"(?<=[。！？!?\n])|(?<=\.\s)")).alias("p", "text"))
+    refs = references(pieces.withColumn("__k", F.struct(key, "p")), "__k")
+    bad = check(refs, files, symbols).where(~F.col("verdict").isin("ok", "ambiguous")).select("__k").distinct().select(F.col(f"__k.{key}").alias(key), "__k.p", F.lit(True).alias("__bad"))
+    rows = pieces.join(bad, [key, "p"], "left")
+    kept = F.transform(F.sort_array(F.collect_list(F.when(F.col("__bad").isNull(), F.struct("p", "text")))), lambda s: s["text"])
+    return rows.groupBy(key).agg(F.array_join(kept, "").alias(text), F.count_if("__bad").alias("dropped"))

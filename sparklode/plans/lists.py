@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import graph as G
 from ..operators import records as R
 from ..operators import retrieval as S
+from ..operators.flows import configuration
 from ..operators.ranking import ranked, reciprocal_ranks, top
 from ..sources.tables import table
 from .code import DEGREES, FILE_EDGES, FILES, IMPORTS, MODULE_EDGES, SYMBOLS, _NAMED, _WORDS, file_edges, files, imports, module_edges, symbols
@@ -149,3 +150,10 @@ def reach_depths(spark, folder):
 def event_stats(spark, folder):
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     return table(spark, folder, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.countDistinct("user_id").alias("users"), F.max(k).alias("most"))
+
+
+@query(_NAMED + f", {IMPORTS}, u AS (SELECT target, fileId, min(line) AS line FROM i JOIN g ON target = g.id WHERE fileId <> target AND g.kind IN ('source', 'test') GROUP BY ALL) SELECT target AS id, count(*) AS readers, min(fileId) AS first_reader FROM u GROUP BY target")
+def import_readers(spark, folder):
+    """The readers of every imported source, as configuration files have them."""
+    f = files(spark, folder).where("kind IN ('source', 'test')").withColumn("kind", F.lit("config"))
+    return configuration(f, imports(spark, folder)).select("id", "readers", F.col("first.fileId").alias("first_reader"))
