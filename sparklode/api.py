@@ -92,10 +92,15 @@ class Project:
         parsed.write.parquet(f"{path}/parsed")
         parsed = self.spark.read.parquet(f"{path}/parsed")
         tables = link(contents.drop("content"), exploded(parsed))
-        tables["chunks"] = chunk(contents, tables["symbols"])
-        tables["flows"] = flows(tables, tree.entry_points(contents.withColumnRenamed("id", "path")))
-        for name in TABLES:
-            tables[name].write.parquet(f"{path}/{name}")
+
+        def keep(name: str, rows: DataFrame) -> None:
+            rows.write.parquet(f"{path}/{name}")
+            tables[name] = self.spark.read.parquet(f"{path}/{name}")
+
+        for name in [n for n in TABLES if n in tables]:  # what follows reads the written tables, not their plans
+            keep(name, tables[name])
+        keep("chunks", chunk(contents, tables["symbols"]))
+        keep("flows", flows(tables, tree.entry_points(contents.withColumnRenamed("id", "path"))))
         before = self.table("files")
         delta = {r.state: r["count"] for r in (records.diff(before, tables["files"]) if before is not None else contents.select(F.lit("added").alias("state"))).groupBy("state").count().collect()}
         summary = {"files": contents.count(), "parsed": missed.count(), "diff": delta} | {n: self.spark.read.parquet(f"{path}/{n}").count() for n in ("symbols", "imports", "calls", "routes", "chunks", "flows")}

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
 
 #: Edges up to which strongly connected components are found by one task; larger graphs take the distributed rounds.
 LOCAL_EDGES = 1_000_000
@@ -42,9 +42,9 @@ def reachable(starts: DataFrame, edges: DataFrame, most: int = 1000) -> DataFram
     """id and depth of everything the starts lead to, themselves included at depth 0.
 
     Level by level: the frontier joins the edges, what was seen is taken out, and each level is written to the shared checkpoint
-    folder. A cycle ends by itself. Edges are partitioned by source once.
+    folder, as the edges are once. A cycle ends by itself.
     """
-    out = edges.select(F.col("from").alias("__from"), F.col("to").alias("id")).distinct()
+    out = stored(edges.select(F.col("from").alias("__from"), F.col("to").alias("id")).distinct())
     seen = cut(starts.select("id").where("id IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while depth < most:
@@ -152,8 +152,10 @@ def walks(starts: DataFrame, edges: DataFrame, depth: int = 5, steps: int = 24)
     """start, step, id and depth: what a breadth-first walk from each start meets, each node once, at most `steps` of them with
     the start, in the order of the node they were reached from, then of the edges' `rank`.
 
-    All walks go on together, a level at a time, so the number of joins is `depth` however many starts there are.
+    All walks go on together, a level at a time, so the number of joins is `depth` however many starts there are. The edges are
+    stored once, as every level reads them.
     """
+    edges = stored(edges.select("from", "to", "rank"))
     by = Window.partitionBy("start")
     seen = cut(starts.select(F.col("id").alias("start"), "id", F.lit(1).alias("step"), F.lit(0).alias("depth")).where("id IS NOT NULL").distinct())
     frontier = seen

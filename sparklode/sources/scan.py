@@ -97,7 +97,8 @@ def scan(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: S
     rows = listing(spark, root).where(~gone & (kept | ~rules.ignored(path, ignore_rules(root))))
     language = rules.language_of(path)
     rows = rows.withColumn("language", language).withColumn("kind", rules.file_kind(path, language)).withColumn("sensitive", rules.sensitive_kind(path, sensitive))
-    if rows.limit(limits.files + 1).count() <= limits.files and (rows.agg(F.sum("bytes").alias("b")).first().b or 0) < limits.total_bytes:
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).first()
+    if size.n <= limits.files and (size.b or 0) < limits.total_bytes:
         return rows
     by_size = prefix_budget(rows, "bytes", limits.total_bytes, [path])
     return prefix_budget(by_size.withColumn("__one", F.lit(1)), "__one", limits.files, [path]).drop("__one")
