@@ -37,7 +37,7 @@ def tokenize(text: Column) -> Column:
     only begins a word behind an underscore), so that no regex runs per word.
     """
     marked = F.regexp_replace(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    found = F.regexp_extract_all(marked, F.lit(r"((?<=_)[A-Za-z0-9]+|[A-Za-z][A-Za-z0-9]*|\d+|(?<![A-Za-z0-9_])__+(?![A-Za-z0-9_]))"), F.lit(1))
+    found = F.regexp_extract_all(marked, F.lit(r"((?<=_)[A-Za-z0-9]+|[A-Za-z][A-Za-z0-9]*|\d+|(?<![A-Za-z0-9_])__+(?![A-Za-z0-9_])|(?<=(?<![A-Za-z0-9_])\d{1,40})__+(?![A-Za-z0-9_]))"), F.lit(1))
     return F.filter(F.transform(F.filter(found, lambda w: F.length(w) >= 2), F.lower), lambda w: ~w.isin(STOP_WORDS))
 
 
@@ -234,6 +234,21 @@ def embed_text(text: str | None, width: int = WIDTH) -> list[float]:
     return (vector / norm).tolist() if norm else vector.tolist()
 
 
+def words_of(text: str | None) -> list[str]:
+    """What `tokenize` gives, for texts that are in Python anyway: identifiers repeat, so their words are remembered."""
+    return [w for i in _IDENTIFIERS.findall(text or "") for w in _pieces(i)[0]]
+
+
+_FEATURES = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+
+@F.pandas_udf(_FEATURES)
+def features(texts: pd.Series) -> pd.DataFrame:
+    """words and vector of each text in one pass."""
+    vectors = [(np.floor(np.array(embed_text(t)) * 1e6 + 0.5) / 1e6).tolist() for t in texts]
+    return pd.DataFrame({"words": [words_of(t) for t in texts], "vector": vectors})
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def embed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: (np.floor(np.array(embed_text(t)) * 1e6 + 0.5) / 1e6).tolist())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import CJK, bm25, embed, embed_text, feature_tokens, has_word, occurrences, round6, tokenize
+from ..functions.text import CJK, bm25, embed_text, feature_tokens, features, has_word, occurrences, round6, tokenize
 from .ranking import ranked, reciprocal_ranks
 
 #: Order and weight of the kinds of chunks.
@@ -46,8 +46,9 @@ def windows(rows: DataFrame, lines: Column, whole: int = 200, size: int = 80, st
 def index_chunks(chunks: DataFrame, vectors: bool = True) -> DataFrame:
     """Chunks ready for search: words counted by the tokenizer of this library and, if asked for, a hashed vector. A search reads
     the index several times, so store it first."""
-    out = chunks.withColumn("words", tokenize(F.col("text")))
-    return out.withColumn("vector", embed(F.col("text"))) if vectors else out
+    if not vectors:
+        return chunks.withColumn("words", tokenize(F.col("text")))
+    return chunks.withColumn("__f", features(F.col("text"))).select("*", "__f.words", "__f.vector").drop("__f")
 
 
 def query_terms(spark, questions: Sequence[str]) -> DataFrame:

@@ -57,6 +57,14 @@ def test_vectors_are_deterministic():
     assert near("getUserById", "get user by id") > 0.5 > near("getUserById", "render chart")
 
 
+def test_both_tokenizers_agree(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["get", "ID", "HTTPServer", "_", "__", " ", ".", "3", "42", "x", "é", "付", "the", "-", "(", "\n"]) for _ in range(40)) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", X.tokenize(F.col("t")).alias("w")).collect()
+    wrong = [(texts[r.k], list(r.w), X.words_of(texts[r.k])) for r in rows if list(r.w) != X.words_of(texts[r.k])]
+    assert not wrong, wrong[:2]
+
+
 def test_rules(spark):
     globs = [("*.md", "a/b.md", True), ("docs/*.md", "docs/a/b.md", False), ("docs/**/*.md", "docs/a/b.md", True), ("dist/", "x/dist/y.js", True), ("/dist", "x/dist", True), ("/a/dist", "x/a/dist", False), ("*.{js,ts}", "a.ts", True), ("a?c", "abc", True), ("a.js", "a.js\n", False)]
     df = spark.createDataFrame([(k, p) for k, (_, p, _) in enumerate(globs)], "k int, p string")
