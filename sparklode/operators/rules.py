@@ -33,7 +33,7 @@ INFRA = (
 )
 TEST = (r"(?i)(?:^|/)(?:test|tests|__tests__|spec|specs|e2e|testing)/", r"(?i)\.(?:test|spec)\.[a-z]+$", r"(?:^|/)(?:test_|conftest)", r"(?i)_test\.[a-z]+$", r"Tests?\.java$")
 CONFIG_NAMES = (
-    r"\.?env(?:\.[^/]*)?$", r"\.(?:eslintrc|prettierrc|babelrc)[^/]*$", r"\.(?:editorconfig|npmrc|nvmrc|flake8|coveragerc|compassignore|gitignore|dockerignore|gitattributes)$", r"[tj]sconfig[^/]*\.json$",
+    r"\.?env(?:\.[^/]*)?$", r"\.(?:eslintrc|prettierrc|babelrc)[^/]*$", r"\.(?:editorconfig|npmrc|nvmrc|flake8|coveragerc|sparklodeignore|gitignore|dockerignore|gitattributes)$", r"[tj]sconfig[^/]*\.json$",
     r"(?:jest|vite|webpack|rollup|next|nuxt|tailwind|postcss|babel|eslint)\.config[^/]*$", r"docker-compose[^/]*\.ya?ml$", r"(?:nginx\.conf|ruff\.toml|mypy\.ini|pytest\.ini|tox\.ini)$", r"requirements[^/]*\.txt$",
     r"(?:package\.json|pyproject\.toml|setup\.(?:py|cfg)|pom\.xml|build\.gradle(?:\.kts)?|go\.mod|Cargo\.toml|composer\.json|Gemfile|settings\.gradle|Makefile|CMakeLists\.txt)$", r"[^/]*\.csproj$",
 )
