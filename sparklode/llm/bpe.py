@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .portions import portions
+
 #: Fixed value: where the vocabulary files lie unless a path is given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the published split of text into words.
@@ -33,6 +35,8 @@ NONE = np.int64(1 << 60)
 #: Distinct stretches a worker remembers (about 200 bytes each), symbols of a word above which a heap takes over from the rounds,
 #: and characters encoded at a time. They bound memory and time, not results.
 REMEMBERED, LONG_WORD, SLICE = 300_000, 256, 4_000_000
+#: Bytes of text an output batch is made of.
+BATCH = 32_000_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -211,7 +215,7 @@ def encode_corpus(df: DataFrame, keep: Sequence[str] = ("doc_id",), text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(vocabulary)
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, len(keep), BATCH)):
             lengths, flat = coder.encode(batch.column(len(keep)).to_pylist())
             offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))
@@ -226,7 +230,7 @@ def count_tokens(df: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(vocabulary)
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, len(keep), BATCH)):
             lengths, _ = coder.encode(batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(lengths.astype(np.int64))], [*keep, name])
 

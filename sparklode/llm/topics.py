@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .portions import portions
 
 #: Columns of H, free components, labelled documents the seeds are fitted on (those with the smallest hashed ids), rounds of that fit.
 COLUMNS, FREE, LABELLED, ROUNDS = 1 << 17, 2, 6_000, 30
@@ -41,7 +42,8 @@ CODES = re.compile(r"[0-9A-Fa-f]{12,}|(?=[A-Za-z0-9+/]*\d)[A-Za-z0-9+/]{24,}={0,
 WORD = re.compile(r"[A-Z]?[a-zà-öø-ÿ]+|[A-Z]+(?![a-z])|[぀-ヿ㐀-鿿가-힯]+")
 #: Marks in the order of terms: a line's end, and a code in a line, which makes it no text.
 BREAK, CODE = -1, -2
-REMEMBERED, SLICE = 300_000, 4_000_000
+#: Stretches a worker remembers, bytes of text and terms it works on at a time: they bound memory, not results.
+REMEMBERED, SLICE, TERMS = 300_000, 4_000_000, 1_000_000
 
 
 def columns_of(text: str) -> list[int]:
@@ -94,17 +96,10 @@ def featurise(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Columns()
-        for batch in batches:
-            texts, begin = batch.column(1).to_pylist(), 0
-            while begin < len(texts):
-                end, size = begin, 0
-                while end < len(texts) and size < SLICE:
-                    size += len(texts[end] or "")
-                    end += 1
-                lengths, flat = coder.encode(texts[begin:end])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), lists], [key, "terms"])
-                begin = end
+        for batch in (p for b in batches for p in portions(b, 1, SLICE)):
+            lengths, flat = coder.encode(batch.column(1).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "terms"])
 
     return documents.select(key, F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, terms array<int>")
 
@@ -192,7 +187,7 @@ def corpus_update(features: DataFrame, h: np.ndarray, subjects: int) -> np.ndarr
         place = np.full(COLUMNS, -1, np.int64)
         place[columns] = np.arange(len(columns))
         total = np.zeros((size, COLUMNS))
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, 0, TERMS)):
             row, column, x = sparse(batch.column(0))
             use = place[column] >= 0
             w = _weights(row[use], place[column[use]], x[use], batch.num_rows, small, 3)
@@ -253,7 +248,7 @@ def assign(features: DataFrame, h: np.ndarray, names: Sequence[str], key: str =
         columns, small = held.value
         place = np.full(COLUMNS, -1, np.int64)
         place[columns] = np.arange(len(columns))
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, 1, TERMS)):
             evidence, support, distinct = mixtures(batch.column(1), columns, place, small, subjects)
             whole = evidence.sum(1)
             share = evidence / np.maximum(whole, 1e-30)[:, None]
