@@ -278,13 +278,26 @@ v AS (SELECT m.id, CASE WHEN coalesce(fan_in, 0) >= 10 THEN 3 WHEN coalesce(fan_
   + CASE WHEN NOT has_test THEN 1 ELSE 0 END + CASE WHEN loc > 2000 THEN 1 ELSE 0 END AS score FROM m LEFT JOIN fan USING (id) LEFT JOIN l USING (id))
 SELECT id, score FROM v WHERE score > 0""")
 def module_risk(spark, folder):
-    """Scores without the cycle rule, which module_cycles has, so that SQL can follow; every module counts as source."""
-    roll = files(spark, folder).groupBy(F.col("moduleId").alias("id")).agg(F.sum(F.coalesce("loc", F.lit(0))).alias("loc"), F.bool_or(F.col("kind") == "test").alias("has_test"), F.lit("source").alias("kind"))
-    links = imports(spark, folder).groupBy(F.col("moduleId").alias("id")).agg(F.count(F.lit(1)).alias("links"), F.count_if(~F.coalesce("resolved", F.lit(False)) & ~F.coalesce("external", F.lit(False))).alias("unresolved"))
-    modules = roll.join(links, "id", "left").fillna(0, ["links", "unresolved"])
+    """The part of module_risks its SQL has: scores without the cycle rule, every module as source."""
+    modules = _linked_modules(spark, folder).withColumn("kind", F.lit("source"))
     return G.risk(modules, module_edges(spark, folder), modules.limit(0), limit=None).select("id", "score")
 
 
+@query()
+def module_risks(spark, folder):
+    """Scores and reasons by all rules: members of module_cycles are on a cycle, a module's kind is that of its roll-up."""
+    kinds = R.mode_or_mixed(files(spark, folder), "moduleId", "kind", ("test", "generated")).withColumnRenamed("moduleId", "id")
+    edges = stored(module_edges(spark, folder))
+    return G.risk(_linked_modules(spark, folder).join(kinds, "id", "left"), edges, G.components(edges), limit=None)
+
+
+def _linked_modules(spark, folder):
+    """id, loc, has_test, links and unresolved of each module."""
+    roll = files(spark, folder).groupBy(F.col("moduleId").alias("id")).agg(F.sum(F.coalesce("loc", F.lit(0))).alias("loc"), F.bool_or(F.col("kind") == "test").alias("has_test"))
+    links = imports(spark, folder).groupBy(F.col("moduleId").alias("id")).agg(F.count(F.lit(1)).alias("links"), F.count_if(~F.coalesce("resolved", F.lit(False)) & ~F.coalesce("external", F.lit(False))).alias("unresolved"))
+    return roll.join(links, "id", "left").fillna(0, ["links", "unresolved"])
+
+
 # ---------------------------------------------------------------- text and retrieval
 
 _WORDS = """t AS (SELECT id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|\\d+(?:\\.\\d+)?')) AS w FROM {0}),
