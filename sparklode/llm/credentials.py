@@ -54,7 +54,7 @@ CALLED = re.compile(rf"(?i)(?:set|with|add|put|use)?_?(?:{PASSWORD_NAME}|{TOKEN_
 ANNOTATED = re.compile(rf"(?i)\(\s*['\"]([^'\"\n]{{8,}})['\"]\s*\)[^=;\n]*?\b\w*(?:{PASSWORD_NAME}|{TOKEN_NAME})\s*;")
 TOKEN = re.compile(r"[A-Za-z0-9+/_\-.!@#%^&*?~]{15,}={0,2}")
 OPENER = re.compile(rf"(?i)(?:{PASSWORD_NAME}|{TOKEN_NAME}|\bkey)[\w]*['\"]?\]?\s*(?::=|=|:)\s*(?:[>|][+\-]?|\(|\\)?\s*$")
-OPENING = tuple(">|=:(\\-+ \r")
+OPENING = tuple(">|=:(\\-+")
 BARE = re.compile(r"^\s*[brf]?(['\"`]?)([^\s'\"`]{6,})\1\s*(?:\+|\\|\)|;|,)*\s*\\?$")
 UUID = re.compile(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 IDENTIFIER, WORDS = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]{2,}+|\d{1,4}+|[_\-.$/])++"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -220,7 +220,7 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
         return []
     spans, lines, at, before = [], text.split("\n"), 0, ""
     for no, line in enumerate(lines):
-        if no in marks and len(line) > 7 or before[-1:] in OPENING and " " not in line.strip() and OPENER.search(before):
+        if no in marks and len(line) > 7 or before.rstrip()[-1:] in OPENING and BARE.match(line.rstrip("\r")) and OPENER.search(before):
             taken: list[tuple[int, int]] = []
             pem = PRIVATE_KEY.search(line)
             if pem and KEY_BODY.match(text, at + pem.end()):

@@ -1,0 +1,12 @@
+"""Problem 2: what a cheap test before the search must not lose."""
+
+import pytest
+
+from sparklode.llm.credentials import find, redact
+
+
+@pytest.mark.parametrize("opener, line", [("String password =", '    "Xk9$mQ2!pL" +'), ("api_key = \\", "  'Zk8$w!2pQr' \\"), ("password: |\r", "  Xk9$mQ2!pL \r"), ("token =\t", '"Zk8$w!2pQr" ;'), ("secret = (", '  "Zk8$w!2pQr" )')])
+def test_a_first_part_with_a_sign_behind_it_is_found(opener, line):
+    text = f"a\n{opener}\n{line}\nb"
+    assert [s[0] for s in find(text)] == [3]
+    assert not {"Xk9", "Zk8"} & {redact(text)[i : i + 3] for i in range(len(text))}
