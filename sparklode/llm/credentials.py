@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,7 +44,8 @@ BEARER = re.compile(r"\b(?:Bearer|Basic)\s+([A-Za-z0-9+/_\-.=~]{16,})")
 PROSE = re.compile(r"(?i)(?:(?:credentials?|log ?in|sign ?in|account|user(?:name)?)\b[^\n=]{0,32}?[: ]\s*(?:as\s+)?[\w.\-]+(?:/|:|\s+/\s+|\s+with\s+)|\b(?:password|passwd|pw|pass|passphrase)\b(?:\s+is)?[: ]\s*)[`'\"*]{0,3}([^\s/'\"`,;()]{6,})")
 TABLE = re.compile(rf"(?i)\|\s*[\w\- ]*(?:{PASSWORD_NAME}|{TOKEN_NAME})\s*\|\s*`?([^\s|`]{{6,}})`?\s*\|")
 QUOTED = re.compile(r"(['\"`])([^'\"`\s]{6,})\1")
-NEAR_PASSWORD = re.compile(rf"(?i)(?:{PASSWORD_NAME})\b")
+#: A name as short as pw is also one a minifier gives; it must stand in the statement of the value.
+NEAR_PASSWORD = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd)\b|(?<![A-Za-z.])pw\b[^;}]*$")
 NEAR_TOKEN = re.compile(rf"(?i)(?:{TOKEN_NAME})(?![a-z])")
 CONNECTS = re.compile(r"(?i)\b(?:connect|login|log_in|auth|authenticate|sign_?in|open_session|credentials?)\w*\s*(?:=\s*)?\(")
 USER_PASS = re.compile(r"(?<![\w/.:@#])[A-Za-z][\w.\-]{2,30}:([^\s:/'\"`,;()<>{}]{8,64})(?=\s)")
@@ -62,9 +63,18 @@ HEX = re.compile(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
 PASSWORD_HASH = re.compile(r"^(?:\$2[abxy]?\$|\$argon2|\$[156]\$|\$pbkdf2|\{SSHA)|:\$2[abxy]\$")
 ENCODED = re.compile(r"(?i)data:[\w/+.\-]*;base64|base64,|sha\d{1,3}[-:=]|ssh-(?:rsa|ed25519)|-----BEGIN (?:[A-Z]+ )*(?:PUBLIC KEY|CERTIFICATE)")
 COMMENT = re.compile(r"(?://|#|/\*|^\s*\*|<!--|--\s|;)\s?(.*)$")
-#: What may stand on a line with a credential that is no long token.
-NEEDLES = ("ass", "PASS", "wd", "PWD", "ecret", "SECRET", "oken'", 'oken"', "oken_", "oken =", "oken:", "TOKEN", "ey'", 'ey"', "ey =", "ey:", "ey)", "KEY", "uth", "AUTH", "earer", "BEARER", "redential", "IDENTIFIED", "identified by", "://", "Sign in", "sign in", "ogin", "og in", " -u ", " -p", "user ", "account ", "opens", " pw ", "_pw", "connect(", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "_live_", "AIza", "eyJ", "PRIVATE KEY")
-LONG = re.compile(r"[A-Za-z0-9+/_\-.!@#%^&*?~]{15,}")
+#: Fixed values, in lower case: what a line must hold for any of these patterns to match on it. A needle for each spelling that a
+#: pattern accepts; where the needles are common words, the line is looked at only if the pattern itself matches.
+_KEYS = tuple(f"{a}{b}key" for a in ("api", "access", "private", "service", "signing", "encryption", "client") for b in ("", "_", "-"))
+SURE = ("pass", "pwd", "secret", "token", "bearer", "credential", "auth", *_KEYS, "sig=", "key=", "identified", "private key", "://")
+UNSURE = (
+    (("user", "account", "login", "log in", "signin", "sign in"), PROSE), (("connect", "login", "log_in", "signin", "sign_in", "open_session"), CONNECTS),
+    (("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "_live_", "_prod_", "aiza", "glpat-", "npm_", "sg.", "eyj"), PREFIXED),
+    (("pw",), re.compile(r"(?i)(?<![a-z])pw")), (("basic",), BEARER), (("x-",), HEADER), (("-p",), FLAG), (("-u",), BASIC_USER),
+    (("key",), re.compile(r"(?i)\bkey\w*['\"]?\]?\s*(?::=|=|:)\s*(?:[>|][+\-]?|\(|\\)?\s*$")),
+)
+LONG = re.compile(r"[A-Za-z0-9+/_\-.!@#%^&*?~]{20,}={0,2}")
+NAMED = re.compile(r":([^\s:/'\"`,;()<>{}]{8,64}+)(?=\s)")
 
 
 def entropy(value: str) -> float:
@@ -202,23 +212,19 @@ def _on_line(line: str, before: str) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), "random"
 
 
-def find(text: str | None) -> list[tuple[int, int, int, str]]:
+def find(text: str | None, marks: Container[int] | None = None) -> list[tuple[int, int, int, str]]:
     """(line from 1, start, end, kind) of each credential in `text`, offsets within the text; a null or empty text has none.
 
-    One credential a place: of overlapping candidates the first, most certain one holds. Lines end at a line feed.
+    One credential a place: of overlapping candidates the first, most certain one holds. Lines end at a line feed. `marks` are the
+    numbers from 0 of the lines to look at, by default all that can hold a credential.
     """
     if not text:
         return []
-    marks = {text.count("\n", 0, m.start()) for m in LONG.finditer(text) if _worth(m.group())}
-    for needle in NEEDLES:
-        at = text.find(needle)
-        while at >= 0:
-            marks.add(text.count("\n", 0, at))
-            line_end = text.find("\n", at)
-            at = text.find(needle, line_end) if line_end >= 0 else -1
+    lines = text.split("\n")
+    marks = _marks(text, lines) if marks is None else marks
     if not marks:
         return []
-    spans, lines, at, before = [], text.split("\n"), 0, ""
+    spans, at, before = [], 0, ""
     for no, line in enumerate(lines):
         if no in marks and len(line) > 7 or before.rstrip()[-1:] in OPENING and BARE.match(line.rstrip("\r")) and OPENER.search(before):
             taken: list[tuple[int, int]] = []
@@ -240,11 +246,44 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
     return held
 
 
+def _marks(text: str, lines: list[str]) -> set[int]:
+    """The numbers from 0 of all lines on which some detector can find something, and of some others."""
+    marks = set(_numbers(text, (m.start() for m in LONG.finditer(text) if _worth(m.group()))))
+    marks.update(_numbers(text, (m.start() for m in NAMED.finditer(text) if memorable(m.group(1).rstrip(".,")))))
+    low = text.casefold()
+    if not text.isascii():  # what patterns take for i besides I
+        low = low.replace("i\u0307", "i").replace("\u0131", "i")
+    for needle in SURE:
+        marks.update(_lines_with(needle, low))
+    for needles, pattern in UNSURE:
+        for needle in needles:
+            marks.update(no for no in _lines_with(needle, low) if no not in marks and pattern.search(lines[no].rstrip("\r")))
+    return marks
+
+
+def _numbers(text: str, places: Iterable[int]) -> Iterator[int]:
+    """The line from 0 of each of the ascending places."""
+    no = counted = 0
+    for at in places:
+        no += text.count("\n", counted, at)
+        counted = at
+        yield no
+
+
+def _lines_with(needle: str, text: str) -> Iterator[int]:
+    def places() -> Iterator[int]:
+        at = text.find(needle)
+        while at >= 0:
+            yield at
+            end = text.find("\n", at)
+            at = text.find(needle, end) if end >= 0 else -1
+
+    return _numbers(text, places())
+
+
 def _worth(token: str) -> bool:
-    """A cheap test before the line is looked at: digits among letters, or changes of character class."""
-    if "/" in token and token == token.lower():
-        return False  # a path; what is random and has slashes has capitals too
-    return not token.isdigit() and sum(map(str.isdigit, token)) > 1 and (len(token) > 30 or len(set(token)) > 9)
+    """Whether a long token is one that the entropy test takes: quick tests that every such token passes, then the test itself."""
+    return not token.isdigit() and not token.isalpha() and len(set(token)) > 8 and random_looking(token, 20) and not harmless(token)
 
 
 def redact(text: str | None, blank: str = "*") -> str | None:

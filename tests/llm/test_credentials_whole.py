@@ -1,5 +1,7 @@
 """Problem 2: what a cheap test before the search must not lose."""
 
+import random
+
 import pytest
 
 from sparklode.llm.credentials import find, redact
@@ -10,3 +12,24 @@ def test_a_first_part_with_a_sign_behind_it_is_found(opener, line):
     text = f"a\n{opener}\n{line}\nb"
     assert [s[0] for s in find(text)] == [3]
     assert not {"Xk9", "Zk8"} & {redact(text)[i : i + 3] for i in range(len(text))}
+
+
+@pytest.mark.parametrize("line", ['api_key="Zk8$w!2pQr"', 'access_token="Zk8$w!2pQr"', "href = /get?key=q7Wz2Xv9Lm3K&n=1", 'open_session("svc", "Zk8$w!2pQr")', "# svc_user:Zk8$w!2pQr for the night run", 'x = "hQzWkVbYtRmXcLpN7sDf"', "AUTHORIZATION : kT7mWq2xZ9Lp", "SİGN ın as svc/Zk8$w!2pQr", "paſſword = 'Zk8$w!2pQr'"])
+def test_every_spelling_is_looked_at(line):
+    assert [s[0] for s in find(f"a\n{line}\nb")] == [2]
+
+
+def test_the_lines_looked_at_hold_all_that_is_found_without_choosing_lines():
+    rng = random.Random(11)
+    names = "password passwd pass pw pwd my_pw .pw PassWord secret token access_token apiKey API-KEY api_key private_key signing-key encryption_key clientkey key sig auth x-auth X-Api-Key Authorization Proxy-Authorization bearer Bearer Basic credentials account user username login log in sign in Sign-in connect( authenticate( open_session( sign_in( login( --user -u -p --token --api-key IDENTIFIED BY svc postgres://u: ?key= &sig= ;auth= // # /* * <!-- -- ; | [ ] ( ) , .".split(" ")
+    joins = ["", " ", "=", ":", " = ", ": ", ":=", "=>", '"', "'", "`", '="', "='", '": "', "(\"", ", \"", "/", "@", "\t", "\r", "\n", " + ", " \\", " >-\n", "=\n", " = (\n"]
+    signs = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    heads = ["", "", "", "", "AKIA", "ghp_", "sk_live_", "AIza", "glpat-", "eyJ", "npm_", "xoxb-", "SG."]
+    value = lambda: rng.choice(heads) + "".join(rng.choice(rng.choice([signs, signs, signs + "-_.!$%/+", "0123456789abcdef", signs[:25] + "7"])) for _ in range(rng.choice([8, 10, 14, 20, 24, 32, 40])))
+    found = 0
+    for _ in range(6000):
+        text = "".join(rng.choice([lambda: rng.choice(names), lambda: rng.choice(joins), value])() for _ in range(12)) + rng.choice(["", "'", '"', '")', " ", "\n"])
+        whole = find(text, range(text.count("\n") + 1))
+        assert find(text) == whole, text
+        found += len(whole)
+    assert found > 1500
