@@ -57,6 +57,10 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_\-.!@#%^&*?~]{15,}={0,2}")
 OPENER = re.compile(rf"(?i)(?:{PASSWORD_NAME}|{TOKEN_NAME}|\bkey)[\w]*['\"]?\]?\s*(?::=|=|:)\s*(?:[>|][+\-]?|\(|\\)?\s*$")
 OPENING = tuple(">|=:(\\-+")
 BARE = re.compile(r"^\s*[brf]?(['\"`]?)([^\s'\"`]{6,})\1\s*(?:\+|\\|\)|;|,)*\s*\\?$")
+#: A line longer than WIDE is many lines of a minified script or a table in one, so names explain the values up to
+#: AROUND characters away, not all of it, and a comment there has spaces around its mark, which URLs and statements have not.
+WIDE, AROUND = 1000, 60
+WIDE_COMMENT = re.compile(r"(?:^|(?<=\s))(?:/\*.*?(?:\*/|$)|<!--.*?(?:-->|$)|(?://|#|\*|--|;)\s.*$)")
 UUID = re.compile(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 IDENTIFIER, WORDS = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]{2,}+|\d{1,4}+|[_\-.$/])++"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HEX = re.compile(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
@@ -127,15 +131,13 @@ def harmless(value: str) -> bool:
     return bool(re.fullmatch(r"(?:\.{0,2}/)?[\w@.\-]+(?:/[\w@.\-]+)+\.\w{1,5}(?::\d+)?(?:#\w+)?", value)) or bool(re.fullmatch(r"[A-Za-z_$]+(?:\.[A-Za-z_$]+)+(?:\(\S*)?", value))
 
 
-def _value_after(name: str, value: str, line: str, start: int) -> str | None:
+def _value_after(name: str, value: str) -> str | None:
     """The kind of credential that `value` after `name` is, or None."""
     tail = SECRET_TAIL.search(name)
     if harmless(value):
         return None
     if tail and not HARMLESS_NAME.search(name):
         if tail.group(1):
-            if len(tail.group(1)) < 3 and len(line) > 1000:
-                return None
             return "password" if memorable(value) else None
         lead = value[:3]
         if random_looking(value, 12) or (memorable(value) and len(value) >= 10 and lead.isprintable() and not re.fullmatch(r"[\w\-]*", value)):
@@ -183,17 +185,18 @@ def _on_line(line: str, before: str) -> Iterator[tuple[int, int, str]]:
         value = m.group(k) if k == 3 else m.group(k).rstrip(";,")
         if k == 4 and "," in line[m.end(1) : m.start(k)]:
             continue  # the next argument of a call
-        found = _value_after(m.group(1), value, line, m.start(k))
+        found = _value_after(m.group(1), value)
         if found:
             at = m.end(k)
             yield m.start(k), m.start(k) + len(value), found
+    connects = CONNECTS.search(line)
     for m in QUOTED.finditer(line):
         value, lead = m.group(2), line[max(0, m.start() - 60) : m.start()]
         if harmless(value) or HARMLESS_NAME.search(lead[-24:]):
             continue
         if NEAR_TOKEN.search(lead) and random_looking(value, 12):
             yield *m.span(2), "token"
-        elif memorable(value) and (NEAR_PASSWORD.search(lead) or CONNECTS.search(line[: m.start()]) and line[m.end() :].lstrip()[:1] in (")", "}") and lead.rstrip()[-1:] == ","):
+        elif memorable(value) and (NEAR_PASSWORD.search(lead) or connects and connects.end() <= m.start() and lead.rstrip()[-1:] == "," and line[m.end() :].lstrip()[:1] in (")", "}")):
             yield *m.span(2), "password"
     opened = OPENER.search(before) if before else None
     bare = BARE.match(line)
@@ -201,17 +204,31 @@ def _on_line(line: str, before: str) -> Iterator[tuple[int, int, str]]:
         return
     if bare and opened and not harmless(bare.group(2)) and (random_looking(bare.group(2), 10) or memorable(bare.group(2)) and len({kind(c) for c in bare.group(2)}) >= 3):
         yield *bare.span(2), "token"
-    if re.match(r"\s*(?://|#|\*|--)\s*(?:file|module|signature|exports|kind|lines):", line) or HARMLESS_NAME.search(line) or ENCODED.search(line) or len(line) > 1000 or REFERENCE.search(line):
+    if re.match(r"\s*(?://|#|\*|--)\s*(?:file|module|signature|exports|kind|lines):", line):
         return
+    wide = len(line) > WIDE
+    if not wide and _explained(line):
+        return
+    comments = [c.span() for c in WIDE_COMMENT.finditer(line)] if wide else [(comment.start(1), len(line))] if comment else []
+    end, explained = -1, False
     for m in TOKEN.finditer(line):
         value = m.group()
+        if wide:  # what explains an item of a list explains those after it
+            same = explained and not line[end : m.start()].strip("'\"`, \t")
+            explained = same or _explained(f"{line[max(0, m.start() - AROUND) : m.start()]} {line[m.end() : m.end() + AROUND]}")
+            end = m.end()
         quoted = line[m.start() - 1 : m.start()] in tuple("'\"`") and line[m.end() : m.end() + 1] in tuple("'\"`")
-        if value.count("/") > 2 and value[:1] in "/." or not (quoted or comment and m.start() >= comment.start(1)):
+        if explained or value.count("/") > 2 and value[:1] in "/." or not (quoted or any(a <= m.start() < b for a, b in comments)):
             continue
         if not harmless(value) and random_looking(value, 20):
             yield m.start(), m.end(), "random"
 
 
+def _explained(context: str) -> bool:
+    """Whether what stands around a value tells why it looks random."""
+    return bool(HARMLESS_NAME.search(context) or ENCODED.search(context) or REFERENCE.search(context))
+
+
 def find(text: str | None, marks: Container[int] | None = None) -> list[tuple[int, int, int, str]]:
     """(line from 1, start, end, kind) of each credential in `text`, offsets within the text; a null or empty text has none.
 

@@ -33,3 +33,23 @@ def test_the_lines_looked_at_hold_all_that_is_found_without_choosing_lines():
         assert find(text) == whole, text
         found += len(whole)
     assert found > 1500
+
+
+SECRET, DIGESTS = "Qx7vB2mKp9LzR4tYw8Ns3Hd6", [f"{random.Random(k).getrandbits(256):064x}" for k in range(40)]
+
+
+@pytest.mark.parametrize("line", ['!function(){var hash=1,image=2;' + "a=b(c[1]);" * 200 + f'd("{SECRET}");' + "e=f(2);" * 200 + "}()", '{"etag":"x",' + '"k":1,' * 300 + f'"x":"{SECRET}"}}', "word " * 400 + f"`{SECRET}` and more", "word " * 400 + f"// {SECRET}", "a=1;" * 300 + 'pw="Zk8$w!2pQr";'])
+def test_secrets_on_very_long_lines(line):
+    assert len(line) > 1000 and [s[0] for s in find(f"a\n{line}\nb")] == [2]
+
+
+@pytest.mark.parametrize("line", ["a=1;" * 300 + f'etag("{SECRET}")', '{"hashes":["' + '","'.join(DIGESTS) + '"]}', "return!e.t&&n.r1-o.i2*s.a?l.u3%c.d4:f;" * 40, "a=1;" * 300 + f'u="https://cdn.example/x1/{SECRET}.js"', "word " * 300 + f"url('data:font/woff2;base64,{SECRET}')"])
+def test_what_opens_nothing_on_very_long_lines(line):
+    assert len(line) > 1000 and find(line) == []
+
+
+def test_very_long_lines_are_searched_in_time():
+    rng = random.Random(3)
+    run = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    assert len(find(f"x = '{run}'")) <= 1
+    assert len(find("; ".join(f'"{run[k : k + 24]}"' for k in range(0, 200_000, 24)))) > 5000
