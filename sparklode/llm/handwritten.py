@@ -10,6 +10,7 @@ person has taken the file over goes before all of these.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,7 @@ VENDOR_PLACE = r"(?:^|/)(?:vendor|vendors|third[_-]?party|thirdparty|node_module
 SCRIPTS = ("javascript", "typescript", "css", "python", "java", "go")
 
 HEAD = re.compile(r"^\s*(?://[/!]?|#!?|/?\*+!?|<!--|--|;+|\"\"\"|''')\s?(.*?)\s*(?:\*/|-->|\"\"\")?\s*$")
+MARK, CLOSINGS = re.compile(r"//[/!]?|#!?|/?\*+!?|<!--|--|;+|\"\"\"|'''"), {"/*": "*/", "<!--": "-->"}
 ABOUT = re.compile(r"^(?:file|module|kind|lines|exports|signature|doc|symbol):\s|^\S+:\d+ (?:\w[\w-]*) ")
 #: What a person's header says, what a generator's says (in several languages), and what a vendored copy's says.
 BY_HAND = re.compile(r"(?i)\b(?:(?:re)?written|maintained|edited|kept|adapted|curated) by (?:hand|us|people|a person)|\bby hand (?:since|afterwards|now|from)|hand[- ](?:written|maintained|edited (?:since|after))|\bour own (?:rewrite|code|version)|no longer generated|safe to edit|used to be (?:generated|vendored)|(?:vendored|generated|upstream) (?:copy|version|file) (?:is|was) (?:gone|removed|dropped)|forked .* and (?:rewritten|maintained)")
@@ -63,6 +65,28 @@ def _only_literals(line: str) -> bool:
     return found > 0 and not rest.translate(SEPARATORS)
 
 
+def _header(lines: list[str]) -> Iterator[str]:
+    """The words of each comment line in front of the first line of code, however many and long they are. A block comment goes on to
+    its end, and what follows that on the same line is a comment or code in turn."""
+    closing = ""
+    for line in lines:
+        rest = line.strip()
+        while rest:
+            if not closing:
+                if not (m := MARK.match(rest)):
+                    return
+                closing = next((c for o, c in CLOSINGS.items() if rest.startswith(o)), "")
+                rest = rest[2 if closing == "*/" else m.end() :]
+            words, ended, rest = rest.partition(closing) if closing else (rest, "", "")
+            if ended or not closing:
+                closing, rest = "", rest.strip()
+            for end in ("*/", "-->", '"""'):
+                if words.endswith(end):
+                    words = words.removesuffix(end)
+                    break
+            yield words.strip().lstrip("*!/# ")
+
+
 def measure(text: str | None) -> dict:
     """The layout statistics and marks of one chunk's text; zeros for a null or empty one. The comment lines about the chunk in
     front of its text are left out."""
@@ -77,13 +101,7 @@ def measure(text: str | None) -> dict:
     body = "\n".join(lines)
     raw = body.encode("utf-8", "replace")
     marks = {"by_hand": False, "generated": False, "vendored": False}
-    for line in lines[:24]:
-        m = HEAD.match(line)
-        if not m or len(line) > 400:
-            if line.strip() and not m:
-                break
-            continue
-        words = m.group(1).lstrip("*!/# ")
+    for words in _header(lines):
         if BY_HAND.search(words):
             marks["by_hand"] = True
         elif TALK.search(words) or ABOUT.match(words):
@@ -97,7 +115,7 @@ def measure(text: str | None) -> dict:
         "chars": len(body), "lines": len(lines), "spaces": len(raw) - len(raw.translate(None, _SPACES)), "alnum": len(raw) - len(raw.translate(None, _ALNUM)),
         "digits": len(raw) - len(raw.translate(None, _DIGITS)), "numbers": len(NUMBER.findall(body)), "data_chars": sum(literal), "data_lines": len(literal),
         "max_line": max(map(len, lines), default=0), "run": max((len(r) for r in RUN.findall(body)), default=0), **marks,
-        "compiled": bool(COMPILED.search(body, 0, 4000)), "snapshot": bool(SNAPSHOT.search(body)), "source_map": bool(SOURCE_MAP.match(body)), "lock": bool(LOCK.search(body)) or len(LOCKED.findall(body)) > 2,
+        "compiled": bool(COMPILED.search(body)), "snapshot": bool(SNAPSHOT.search(body)), "source_map": bool(SOURCE_MAP.match(body)), "lock": bool(LOCK.search(body)) or len(LOCKED.findall(body)) > 2,
     }
 
 
