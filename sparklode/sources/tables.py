@@ -28,3 +28,27 @@ def current_rows(df: DataFrame, columns: Sequence[str], key: str = "id", at: str
     latest = F.max_by(F.struct(*[F.col(c) for c in held]), newest_first(at)).alias("__row")
     rows = df.where(F.col(key).isNotNull()).groupBy(F.col(key)).agg(latest)
     return rows.select(F.col(key), *[F.col("__row")[c].alias(c) for c in held])
+
+
+#: Slots of the filter that names keys with several rows, 64 to a number: at most 262,144 rows of two numbers are broadcast.
+SLOTS = 1 << 24
+
+
+def settled(df: DataFrame, columns: Sequence[str], key: str = "id", at: str = "seenAt", slots: int = SLOTS) -> DataFrame:
+    """The rows of `current_rows`, where only keys that have several rows are shuffled with their columns.
+
+    The hashes of all keys are counted first (one number a row); those that occur more than once set a bit in a filter of fixed
+    size. A row whose bit is not set is the only one of its key and stays where it is read. The others, and few that share a bit
+    by chance, take the shuffle of `current_rows`: should the repeated keys ever fill the filter, all rows do. For columns that
+    are wide next to the key, such as texts and lists; the table is read twice for it. Nulls and ties as in `current_rows`.
+    """
+    held = [c for c in columns if c != key]
+    hashed = F.pmod(F.xxhash64(key), F.lit(slots))
+    rows = df.where(F.col(key).isNotNull()).select(*{c: F.col(c) for c in (key, at, *held)}.values())
+    repeated = rows.select(F.xxhash64(key).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    slot = F.pmod("h", F.lit(slots))
+    filled = repeated.groupBy(F.shiftright(slot, 6).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))).alias("__bits"))
+    marked = rows.withColumn("__word", F.shiftright(hashed, 6)).join(F.broadcast(filled), "__word", "left")
+    several = F.coalesce(F.bit_get("__bits", (hashed % 64).cast("int")) == 1, F.lit(False))
+    alone = marked.where(~several).select(key, *held)
+    return alone.unionByName(current_rows(marked.where(several), held, key, at))

@@ -211,3 +211,17 @@ def test_parse_rows(spark):
     got = {r.id: r for r in parse_files(df).collect()}
     assert got["a.py"].symbols[0]["name"] == "f" and got["a.py"].calls[0].fromSymbol == "f" and got["c.py"].notes == ["no content"]
     assert parse_files(df.limit(0)).count() == 0
+
+
+def test_settled_rows_are_the_current_rows(spark):
+    from datetime import datetime, timedelta
+
+    from sparklode.sources.tables import current_rows, settled
+
+    t = datetime(2025, 1, 1)
+    rows = [(f"k{k % 40}" if k % 7 else None, None if k % 5 == 0 else t + timedelta(k), k, f"text {k}", "clash") for k in range(60)] + [("twin", t, 1, "same", "a"), ("twin", t, 1, "same", "b")]
+    df = spark.createDataFrame(rows, "id string, seenAt timestamp_ntz, n int, text string, __word string")
+    want = sorted(current_rows(df, ["n", "text"]).collect())
+    for slots in (64, 1 << 24):  # in a full filter every row takes the shuffle
+        assert sorted(settled(df, ["n", "text"], slots=slots).collect()) == want
+    assert settled(df.limit(0), ["n"]).count() == 0
