@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from ..sources.tables import newest_first
+from ..sources.tables import settled
 
 #: Tokens of a block: bounds a worker's memory (about 100 bytes a token), never what is counted.
 BLOCK = 1_000_000
@@ -25,11 +25,10 @@ HOT_ROWS, HOT_LENGTH = 100_000, 100
 
 def records(df: DataFrame, key: str = "id", tokens: str = "tokens", at: str = "seenAt") -> DataFrame:
     """key and terms of each current row that has at least one term: tokens in lower case without outer blanks, less null and
-    empty ones. One shuffle, of the cleaned terms, on the unique key."""
+    empty ones. Only lists of keys with several rows are shuffled."""
     clean = F.filter(F.transform(F.col(tokens), lambda t: F.trim(F.lower(t))), lambda t: t.isNotNull() & (t != ""))
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key), newest_first(at).alias("__at"), clean.alias("__terms"))
-    now = rows.groupBy(key).agg(F.max_by("__terms", "__at").alias("terms"))
-    return now.where(F.size("terms") > 0)
+    # a quick look decides which rows have a term; the filter would else clean each list a second time
+    return settled(df, [tokens], key, at).where(F.exists(tokens, lambda t: F.trim(t) != "")).select(key, clean.alias("terms"))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, pa.Array]]:
