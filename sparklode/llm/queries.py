@@ -56,18 +56,19 @@ SELECT id FROM now JOIN size_limits ON applies_to = 'chunks.' || kind WHERE k =
 
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The exact weight tf * ln(N / df) over the operator's scored rows, whose df and N are the sums of the fitted histograms."""
-    scored, names, total = terms.score_terms(terms.records(table(spark, folder, "chunks")))
-    weight = F.round(F.col("tf") * F.log(F.lit(float(total)) / F.col("df")), 6)
-    best = scored.where("df >= 2").groupBy("rid").agg(F.min(F.struct((-weight).alias("w"), "term")).alias("b"))
-    return best.join(names, "rid").select("id", F.col("b.term").alias("term"))
+    return terms.most_distinctive(terms.records(table(spark, folder, "chunks"))).select("id", "term")
 
 
 @query
 def p4_weights(spark: SparkSession, folder: str) -> DataFrame:
     scored, names, total = terms.score_terms(terms.records(table(spark, folder, "chunks")))
-    idf = F.round(F.col("tf") * F.log(F.lit(float(total)) / F.col("df")), 6)
-    return scored.join(names, "rid").select("id", "term", "tf", "df", F.round("elite", 6).alias("elite"), idf.alias("tfidf"))
+    return scored.join(names, "rid").select("id", "term", "tf", "df", F.round("elite", 6).alias("elite"), terms.tf_idf(total).alias("tfidf"))
+
+
+@query
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """What of p4_weights SQL can give: all but the posterior."""
+    return p4_weights(spark, folder).drop("elite")
 
 
 @query
@@ -92,8 +93,14 @@ total AS (SELECT count(DISTINCT id) AS n FROM words)
 ORACLES["p4_found"] = _TERMS + """, ranked AS (
   SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln(n::DOUBLE / df), 6) DESC, term) AS r FROM tfs JOIN dfs USING (term), total WHERE df >= 2)
 SELECT id, term FROM ranked WHERE r = 1"""
+ORACLES["p4_counts"] = _TERMS + "SELECT id, term, tf, df, round(tf * ln(n::DOUBLE / df), 6) AS tfidf FROM tfs JOIN dfs USING (term), total"
 ORACLES["p7_found"] = _TERMS + "SELECT term, CASE WHEN df <= 2 THEN 'rare' ELSE 'common' END AS mark FROM dfs, total WHERE df <= 2 OR df > n / 4.0"
 
+ORACLES["p7_ngrams"] = _TERMS + """, lists AS (SELECT id, list_filter(list_transform(tokens, lambda t: lower(trim(t))), lambda t: t IS NOT NULL AND t <> '') AS w FROM now WHERE k = 1),
+grams AS (SELECT id, k.n AS n, unnest(list_transform(range(1, len(w) - k.n + 2), lambda i: list_slice(w, i, i + k.n - 1))) AS g FROM lists, (SELECT unnest([1, 2, 3]) AS n) k WHERE len(w) >= k.n)
+SELECT array_to_string(g, ' ') AS ngram, grams.n::INT AS n, count(*) AS occurrences, count(DISTINCT id) AS records, CASE WHEN count(DISTINCT id) <= 2 THEN 'rare' WHEN count(DISTINCT id) > any_value(total.n) / 4.0 THEN 'common' END AS mark
+FROM grams, total GROUP BY g, grams.n"""
+
 
 @query
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -19,8 +19,12 @@ from ..sources.tables import settled
 #: Tokens of a block: bounds a worker's memory (about 100 bytes a token), never what is counted.
 BLOCK = 1_000_000
 #: A (term, tf) pair held by more than one in HOT_ROWS of all (record, term) pairs is hot. There can't be more than HOT_ROWS of
-#: them whatever the size of the corpus; with the longest term among them that bounds what is broadcast to about 10 MB.
+#: them whatever the size of the corpus; terms above HOT_LENGTH characters stand for themselves by a digest among them, which
+#: bounds what is broadcast to about 10 MB.
 HOT_ROWS, HOT_LENGTH = 100_000, 100
+#: From this posterior on a term is taken for elite in a record; and the share of the other pairs whose weights lie under the bound
+#: that proves a record's best elite term to be its best term.
+ELITE, UNDER = 0.5, 0.9
 
 
 def records(df: DataFrame, key: str = "id", tokens: str = "tokens", at: str = "seenAt") -> DataFrame:
@@ -168,7 +172,7 @@ def two_poisson(tf: np.ndarray, count: np.ndarray, owner: np.ndarray, total: int
 
     `tf`, `count`, `owner`: a histogram bar each, sorted by owner; the records without the term, `total` less its bars, are the
     bar at 0. Returns of each term the elite share and the elite and plain rates, and of each bar the posterior probability of
-    the elite component. Expectation and maximisation go on for `rounds`, or until no elite share moves by more than `tolerance`.
+    the elite component. Of each term expectation and maximisation go on for `rounds`, or until its elite share moves by less than `tolerance`.
     """
     begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     which = np.cumsum(np.r_[0, owner[1:] != owner[:-1]])
@@ -182,16 +186,18 @@ def two_poisson(tf: np.ndarray, count: np.ndarray, owner: np.ndarray, total: int
         odds = np.log(share) - np.log1p(-share) + k * (np.log(elite) - np.log(plain)) - (elite - plain)
         return 1.0 / (1.0 + np.exp(-np.clip(odds, -700, 700)))
 
+    open_ = np.ones(len(df), bool)  # each term stops by itself, so its fit does not depend on the terms beside it
     for _ in range(rounds):
         held = posterior(tf, share[which], elite[which], plain[which])
         none = posterior(0, share, elite, plain)
         weight, hits = fold(held * count) + none * zero, fold(held * count * tf)
         fresh = np.clip(weight / max(total, 1), 1e-12, 1 - 1e-12)
-        elite = np.maximum(hits / np.maximum(weight, 1e-12), 1e-12)
-        plain = np.maximum((mass - hits) / np.maximum(total - weight, 1e-12), 1e-12)
-        elite, plain = np.maximum(elite, plain), np.minimum(elite, plain)
-        moved, share = np.abs(fresh - share).max(initial=0.0), fresh
-        if moved < tolerance:
+        high = np.maximum(hits / np.maximum(weight, 1e-12), 1e-12)
+        low = np.maximum((mass - hits) / np.maximum(total - weight, 1e-12), 1e-12)
+        elite, plain = np.where(open_, np.maximum(high, low), elite), np.where(open_, np.minimum(high, low), plain)
+        moved, share = np.abs(fresh - share), np.where(open_, fresh, share)
+        open_ &= moved >= tolerance
+        if not open_.any():
             break
     return share, elite, plain, posterior(tf, share[which], elite[which], plain[which])
 
@@ -224,17 +230,54 @@ def score_terms(rows: DataFrame, key: str = "id", terms: str = "terms") -> tuple
 
     Terms are held by very unequal numbers of records. The weights of hot (term, tf) pairs, whose number has
     a fixed bound, are broadcast and cover most occurrences where they stand; only the others are shuffled, and none of those keys
-    holds more than one in HOT_ROWS of all (terms above HOT_LENGTH characters aside, which AQE splits). A record with null or no terms has no rows; copies of a row are scored each for
+    holds more than one in HOT_ROWS of all. A record with null or no terms has no rows; copies of a row are scored each for
     themselves; extra columns are not read.
     """
     held = stored(term_frequencies(rows, key, terms).withColumn("rid", F.monotonically_increasing_id()))
     total = held.count()
     weights = stored(term_weights(held, total))
+    return _joined(held, weights), held.select("rid", key), total
+
+
+def _joined(held: DataFrame, weights: DataFrame) -> DataFrame:
+    """rid, term, tf, df and elite of every pair of a record and a term that `weights` has."""
     pairs_in_all = weights.agg(F.sum("n").alias("n")).first().n or 0
-    hot = weights.where((F.length("term") <= HOT_LENGTH) & (F.col("n") * HOT_ROWS > pairs_in_all))
-    hot = F.broadcast(hot.select("term", "tf", F.col("df").alias("hot_df"), F.col("elite").alias("hot_elite")))
+    short = F.when(F.length("term") <= HOT_LENGTH, F.col("term")).otherwise(F.concat(F.lit("\0"), F.sha2("term", 256)))
+    hot = weights.where(F.col("n") * HOT_ROWS > pairs_in_all)
+    hot = F.broadcast(hot.select(short.alias("__short"), "tf", F.col("df").alias("hot_df"), F.col("elite").alias("hot_elite")))
     pairs = held.select("rid", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("rid", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
-    near = pairs.join(hot, ["term", "tf"], "left")
+    near = pairs.withColumn("__short", short).join(hot, ["__short", "tf"], "left")
     ready = near.where("hot_df IS NOT NULL").select("rid", "term", "tf", F.col("hot_df").alias("df"), F.col("hot_elite").alias("elite"))
     far = near.where("hot_df IS NULL").select("rid", "term", "tf").join(weights.select("term", "tf", "df", "elite"), ["term", "tf"])
-    return ready.unionByName(far.select("rid", "term", "tf", "df", "elite")), held.select("rid", key), total
+    return ready.unionByName(far.select("rid", "term", "tf", "df", "elite"))
+
+
+def tf_idf(total: int) -> Column:
+    return F.round(F.col("tf") * F.log(F.lit(float(total)) / F.col("df")), 6)
+
+
+def most_distinctive(rows: DataFrame, key: str = "id", terms: str = "terms", least: int = 2) -> DataFrame:
+    """key, term and proven of each record: of its terms held by `least` records or more the one with the highest tf ln(N / df), the
+    alphabetically first of equals.
+
+    The posterior selects: candidates are the terms a record holds as elite, and the few others whose weight lies above a bound
+    that UNDER of the non-elite pairs stay below. No other term of any record weighs more than the bound, so a record's best
+    candidate above it is its best term (`proven`). The other records get the exact comparison of all their terms, in the same
+    aggregation. Records whose every term is rarer than `least` have no row; nulls and copies as in `score_terms`.
+    """
+    held = stored(term_frequencies(rows, key, terms).withColumn("rid", F.monotonically_increasing_id()))
+    total = held.count()
+    weights = stored(term_weights(held, total))
+    others = weights.where((F.col("df") >= least) & (F.col("elite") < ELITE))
+    bars = {r.w: r.n for r in others.groupBy(F.floor(F.least(tf_idf(total), F.lit(100.0))).alias("w")).agg(F.sum("n").alias("n")).collect()}
+    bound, below = 0, 0
+    while bars and below < UNDER * sum(bars.values()):
+        below += bars.get(bound, 0)
+        bound += 1
+    scored = _joined(held, weights.where(F.col("df") >= least)).withColumn("weight", tf_idf(total))
+    pick = F.struct((-F.col("weight")).alias("w"), "term")
+    candidate = (F.col("elite") >= ELITE) | (F.col("weight") > bound)
+    best = scored.groupBy("rid").agg(F.min(F.when(candidate, pick)).alias("c"), F.min(pick).alias("b"))
+    proven = F.coalesce(-F.col("c.w") > bound, F.lit(False))
+    named = best.select("rid", F.when(proven, F.col("c.term")).otherwise(F.col("b.term")).alias("term"), proven.alias("proven"))
+    return named.join(held.select("rid", key), "rid").select(key, "term", "proven")

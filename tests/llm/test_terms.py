@@ -76,3 +76,51 @@ def test_the_fit_finds_two_rates():
     share, elite, plain, post = two_poisson(tf.astype(float), n, np.zeros(len(tf), np.int64), 40_000, rounds=300)
     assert abs(share[0] - 0.05) < 0.01 and abs(elite[0] - 6) < 0.4 and abs(plain[0] - 0.2) < 0.03
     assert (np.diff(post) >= 0).all() and post[-1] > 0.99 and math.isfinite(post.sum())
+
+
+def brute_fit(tfs, total, rounds=60):
+    """Two Poisson rates for one term, record by record: every record is a row, those without the term too."""
+    x = list(tfs) + [0] * (total - len(tfs))
+    share, elite, plain = min(max(len(tfs) / total, 1e-12), 0.5), 1.5 * sum(tfs) / len(tfs), max(0.25 * sum(tfs) / total, 1e-12)
+    chance = lambda k: 1 / (1 + math.exp(-max(-700, min(700, math.log(share / (1 - share)) + k * math.log(elite / plain) - (elite - plain)))))
+    for _ in range(rounds):
+        held = [chance(k) for k in x]
+        weight, hits = sum(held), sum(h * k for h, k in zip(held, x))
+        fresh = min(max(weight / total, 1e-12), 1 - 1e-12)
+        a, b = max(hits / max(weight, 1e-12), 1e-12), max((sum(x) - hits) / max(total - weight, 1e-12), 1e-12)
+        elite, plain, moved, share = max(a, b), min(a, b), abs(fresh - share), fresh
+        if moved < 1e-7:
+            break
+    return chance
+
+
+def test_the_posterior_is_that_of_a_fit_record_by_record(spark):
+    rng = random.Random(4)
+    terms = {"topic": 0.2, "often": 0.7, "rare": 0.02, "long" * 40: 0.3}
+    rows = [(f"r{k}", ["base"] + [t for t, p in terms.items() if rng.random() < p for _ in range(1 + int(rng.expovariate(0.6)))]) for k in range(300)]
+    scored, names, total = score_terms(records(frame(spark, rows)))
+    got = scored.join(names, "rid").collect()
+    for term in [*terms, "base"]:
+        tfs = [t.count(term) for _, t in rows if term in t]
+        chance = brute_fit(tfs, len(rows))
+        mine = {(r.id, r.tf): r.elite for r in got if r.term == term}
+        assert len(mine) == len(tfs) and all(abs(e - chance(tf)) < 1e-6 for (_, tf), e in mine.items()), term
+
+
+def test_the_best_term_is_that_of_a_comparison_of_all(spark, monkeypatch):
+    import sparklode.llm.terms as module
+
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(60)] + ["x" * 300, "y" * 300]
+    rows = [(f"r{k}", [w for w in rng.sample(words, rng.randint(1, 20)) for _ in range(rng.choice([1, 1, 2, 7]))] + [f"own{k}"]) for k in range(120)] + [("alone", ["only"]), ("none", [None])]
+    df = Counter(t for _, ts in rows for t in {x for x in ts if x})
+    want = {}
+    for i, ts in rows:
+        scores = [(-round(n * math.log(121 / df[t]), 6), t) for t, n in Counter(x for x in ts if x).items() if df[t] >= 2]
+        want |= {i: min(scores)[1]} if scores else {}
+    for hot, elite in ((100_000, 0.5), (2, 0.5), (100_000, 2.0), (100_000, 0.0)):  # none and all are candidates in the last two
+        monkeypatch.setattr(module, "HOT_ROWS", hot)
+        monkeypatch.setattr(module, "ELITE", elite)
+        got = module.most_distinctive(records(frame(spark, rows))).collect()
+        assert {r.id: r.term for r in got} == want
+    assert module.most_distinctive(records(frame(spark, rows).limit(0))).count() == 0
