@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 #: Words that carry no meaning of their own in a doc.
 EMPTY_WORDS = frozenset("a an the this that these those it its is are was were be been will would shall should can could may might must do does did of for to in on at by with from into as and or not no if then than when while so such also just only please use used uses using via per each any all some one function func method procedure routine helper helpers utility util class object instance implementation implements implement internal private public protected static async type types value values result results return returns returned param params parameter parameters argument arguments arg args input output given specified current new default main simple basic handle handles handling perform performs do execute executes executed run runs call calls called process processes make makes get gets set sets void null none undefined true false promise string number boolean int integer long float double bool error errors exception throws throw raises raise see description summary name names part n o details detail safely safe_ batch summary_ logic code stub generated auto".split()) - {"safely"}
 #: Texts that stand in for a doc, in whole.
@@ -128,7 +130,7 @@ def pairs(symbols: DataFrame) -> DataFrame:
     of a declaration with the same module, parent, name and normalised signature.
 
     `symbols` repeats rows only as exact copies, so any row of an id is its current one; rows with a null id are left out. Docs
-    are judged before any join; of several declarations of one symbol the one with the smallest id gives its doc. The join
+    are judged once, before any join, and the judged rows stored; of several declarations of one symbol the one with the smallest id gives its doc. The join
     is on the qualified symbol, whose groups are few rows even in a module with a third of all symbols; equal names without a
     signature meet only each other. Null or blank names pair only with their own doc. An empty table gives an empty one; other
     columns are not read.
@@ -136,12 +138,14 @@ def pairs(symbols: DataFrame) -> DataFrame:
     held = ["moduleId", "name", "kind", "parent", "signature", "doc"]
     rows = symbols.where(F.col("id").isNotNull()).groupBy("id").agg(F.first(F.struct(*held)).alias("s")).select("id", "s.*")
     functions = rows.where(is_function(F.col("kind"), F.col("signature"), F.col("name")))
-    functions = functions.withColumn("worth", tells_something("name", "signature", "doc"))
-    blank = F.coalesce(F.trim("name") == "", F.lit(True))
-    key = F.when(~blank, F.struct(F.coalesce("moduleId", F.lit("")).alias("m"), F.coalesce("parent", F.lit("")).alias("p"), F.trim("name").alias("n"), normal_signature(F.col("signature")).alias("s")))
-    functions = functions.withColumn("__symbol", F.xxhash64(key)).withColumn("__key", key)
-    own = functions.where("worth").select("id", "name", "signature", "doc", F.col("id").alias("doc_id"))
-    declared = functions.where(F.col("worth") & F.col("__key").isNotNull()).groupBy("__symbol", "__key").agg(F.min(F.struct(F.col("id").alias("doc_id"), "doc")).alias("d"))
-    bare = functions.where(~F.col("worth") & F.coalesce(F.trim("doc") == "", F.lit(True)) & F.col("__key").isNotNull())
-    lent = bare.select("id", "name", "signature", "__symbol", "__key").join(declared, ["__symbol", "__key"]).select("id", "name", "signature", "d.doc", "d.doc_id")
+    unnamed = F.coalesce(F.trim("name") == "", F.lit(True))
+    key = F.when(~unnamed, F.struct(F.coalesce("moduleId", F.lit("")).alias("m"), F.coalesce("parent", F.lit("")).alias("p"), F.trim("name").alias("n"), normal_signature(F.col("signature")).alias("s")))
+    # the three parts below read the judged rows; undocumented ones stay apart from those whose doc is trivial, which lend and borrow nothing
+    worth, blank = tells_something("name", "signature", "doc"), F.coalesce(F.trim("doc") == "", F.lit(True))
+    judged = functions.select("id", "name", "signature", "doc", key.alias("key"), F.xxhash64(key).alias("symbol"), blank.alias("blank"), worth.alias("worth"))
+    judged = stored(judged)
+    own = judged.where("worth").select("id", "name", "signature", "doc", F.col("id").alias("doc_id"))
+    declared = judged.where("worth AND key IS NOT NULL").groupBy("symbol", "key").agg(F.min(F.struct(F.col("id").alias("doc_id"), "doc")).alias("d"))
+    bare = judged.where("blank AND key IS NOT NULL").select("id", "name", "signature", "symbol", "key")
+    lent = bare.join(declared, ["symbol", "key"]).select("id", "name", "signature", "d.doc", "d.doc_id")
     return own.unionByName(lent)
