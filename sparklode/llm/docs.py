@@ -9,6 +9,7 @@ name, parameters and signature do not.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,7 @@ WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 ESCAPES = re.compile(r"&\w+;|<[^>]{1,80}>|\{@\w+\s*|[`*_~]{1,3}")
 
 
+@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     """A word less its plain English ending, so that `serializes`, `serialized` and `serialize` meet."""
     w = word.lower().replace("'", "").replace("’", "")
@@ -86,10 +88,13 @@ def essence(doc: str | None) -> str:
     return " ".join(kept).strip()
 
 
+_remembered = lru_cache(maxsize=50_000)(essence)
+
+
 def informative(name: str | None, signature: str | None, doc: str | None, least: int = 2) -> bool:
     """Whether `doc` tells something that name, parameters and signature do not: at least `least` different words that neither
     occur there nor are empty, or five characters of a script without word gaps. Null, blank and trivial docs tell nothing."""
-    text = essence(doc)
+    text = _remembered(doc) if doc and len(doc) < 1000 else essence(doc)
     if not text or re.sub(r"[^\w一-鿿]+", " ", text).strip().lower() in FILLERS:
         return False
     if len(WIDE.findall(text)) >= 5:
