@@ -3,7 +3,9 @@
 Quoted strings, long tokens and the values after a credential's name are the candidates. A candidate is flagged if its Shannon
 entropy, in the alphabet it is written in, lies above a threshold that depends on its length, and if neither its form (UUID,
 path, identifier, placeholder, data URI, password hash) nor its context (digests, commits, request ids, lock files) explains the
-entropy. After a name such as `password`, where people choose memorable values, mixed character classes are asked for instead.
+entropy. Every kind of credential passes that test; a name, an issuer's prefix or a place such as a URL's user part only lowers the
+threshold and the least length. After a name such as `password`, where people choose memorable values, mixed character classes
+are asked for besides.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ REFERENCE = re.compile(r"(?i)(?:process\.env|os\.environ|getenv|vault|secretsman
 PREFIXED = re.compile(r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|AKIA[0-9A-Z]{4,15}(?=['\"`]\s*[+\\])|ASIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{6,}|github_pat_\w{20,}|xox[abeoprs]-[A-Za-z0-9-]{8,}|[sr]k_(?:live|prod)_[A-Za-z0-9]{6,}|AIza[A-Za-z0-9_\-]{6,}|glpat-[A-Za-z0-9_\-]{5,}|npm_[A-Za-z0-9]{30,}|SG\.[\w\-]{16,}\.[\w\-]{16,}|eyJ[A-Za-z0-9_\-]{8,}(?:\.(?:eyJ)?[A-Za-z0-9_\-]{3,}){0,2})")
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_BODY = re.compile(r"(?:\s|\\n|\\r|['\"`+,\\]|//|#|\*)*[A-Za-z0-9+/=]{16,}")
+WRAPPING = re.compile(r"\\[nr]|[^A-Za-z0-9+/=]")
 KEY_END = re.compile(r"-----END [A-Z0-9 ]*(?:-----)?")
 USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@'\"`<>{}$]{0,64}:([^\s@/'\"`<>]{3,128})@")
 QUERY_PART = re.compile(r"(?i)[?&;](?:[a-z_\-]*(?:key|token|secret|password|pwd|sig|auth))=([^&\s'\"`#<>]{6,})")
@@ -88,12 +91,30 @@ def entropy(value: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in counts.values()) if n else 0.0
 
 
-def threshold(length: int, alphabet: int) -> float:
+#: Shares of the highest entropy possible: that of a value nothing speaks for, of one with an issuer's prefix, of one that people
+#: choose, who repeat syllables, and of the body of a key block, whose lines can be alike.
+UNNAMED, PREFIX, CHOSEN, BLOCK = 0.8, 0.7, 0.6, 0.5
+
+
+def threshold(length: int, alphabet: int, share: float = UNNAMED) -> float:
     """The entropy that random text of that length and alphabet reaches almost always: a share of the highest possible, which
     falls short for short texts as letters repeat by chance."""
     if alphabet <= 16:
-        return 2.9 + 0.4 * min(1.0, length / 64)
-    return 0.8 * math.log2(min(length, alphabet))
+        return (2.9 + 0.4 * min(1.0, length / 64)) * share / UNNAMED
+    return share * math.log2(min(length, alphabet))
+
+
+def alphabet(value: str) -> int:
+    """How many characters the narrowest of these alphabets has: digits, hex, letters of one case with digits, all others."""
+    if HEX.match(value):
+        return 10 if value.isdigit() else 16
+    return 36 if value.isalnum() and (value.islower() or value.isupper()) else 64
+
+
+def dense(value: str, share: float) -> bool:
+    """Whether the entropy of a value that something introduces lies above its threshold; the alphabet of a short one is not known."""
+    size = alphabet(value) if len(value) >= 30 else 64
+    return len(value) > 1 and entropy(value) > threshold(len(value), size, share)
 
 
 def random_looking(value: str, least: int = 16) -> bool:
@@ -115,9 +136,10 @@ def kind(c: str) -> int:
 
 
 def memorable(value: str) -> bool:
-    """A value people choose as a password: eight or more characters of at least two classes, one of them a digit or a sign."""
+    """A value people choose as a password: eight or more characters of at least two classes, one of them a digit or a sign, with
+    the entropy of no repetition."""
     kinds = {kind(c) for c in value}
-    return len(value) >= 8 and len(kinds) >= 2 and bool(kinds & {2, 3}) and any(map(str.isalnum, value)) and (2 in kinds or len(kinds) >= 3)
+    return len(value) >= 8 and len(kinds) >= 2 and bool(kinds & {2, 3}) and any(map(str.isalnum, value)) and (2 in kinds or len(kinds) >= 3) and dense(value, CHOSEN)
 
 
 def harmless(value: str) -> bool:
@@ -151,11 +173,11 @@ def _on_line(line: str, before: str) -> Iterator[tuple[int, int, str]]:
     for m in PREFIXED.finditer(line):
         if m.group().startswith("eyJ") and m.group().count(".") < 1 and not re.search(r"['\"`]\s*[+\\]|['\"`]\s*$", line[m.end():m.end() + 4]):
             continue
-        if not re.search(r"(?i)example|xxxx|your|\*\*\*", m.group()):
+        if not re.search(r"(?i)example|xxxx|your|\*\*\*", m.group()) and dense(m.group(), PREFIX):
             yield m.start(), m.end(), "key"
     for m in USERINFO.finditer(line):
         value = m.group(1)
-        if not PLACEHOLDER.match(value) and not REFERENCE.search(value) and "{" not in value and value.isprintable() and len(value) > 5:
+        if not PLACEHOLDER.match(value) and not REFERENCE.search(value) and "{" not in value and value.isprintable() and len(value) > 5 and dense(value, CHOSEN):
             yield *m.span(1), "url password"
     for pattern, least in ((QUERY_PART, 12), (HEADER, 12), (BEARER, 16)):
         for m in pattern.finditer(line):
@@ -247,8 +269,10 @@ def find(text: str | None, marks: Container[int] | None = None) -> list[tuple[in
             taken: list[tuple[int, int]] = []
             pem = PRIVATE_KEY.search(line)
             if pem and KEY_BODY.match(text, at + pem.end()):
-                end = KEY_END.search(text, at + pem.end())
-                spans.append((no + 1, at + pem.end(), end.start() if end else len(text), "private key"))
+                found = KEY_END.search(text, at + pem.end())
+                end = found.start() if found else len(text)
+                if dense(WRAPPING.sub("", text[at + pem.end() : end]), BLOCK):
+                    spans.append((no + 1, at + pem.end(), end, "private key"))
             else:
                 for a, b, name in _on_line(line.rstrip("\r"), before):
                     if all(b <= x or a >= y for x, y in taken):
@@ -303,12 +327,13 @@ def _worth(token: str) -> bool:
     return not token.isdigit() and not token.isalpha() and len(set(token)) > 8 and random_looking(token, 20) and not harmless(token)
 
 
-def redact(text: str | None, blank: str = "*") -> str | None:
-    """`text` with each credential's characters replaced one for one, line ends kept: quotes, names and line numbers stay."""
+def redact(text: str | None, blank: str = "*", held: list[tuple[int, int, int, str]] | None = None) -> str | None:
+    """`text` with each credential's characters replaced one for one, line ends kept: quotes, names and line numbers stay. `held` is
+    what `find` gave, where that is known."""
     if not text:
         return text
     parts, at = [], 0
-    for _, a, b, _ in find(text):
+    for _, a, b, _ in find(text) if held is None else held:
         parts += [text[at:a], re.sub(r"[^\s\\'\"`+,;]", blank, text[a:b]) if "\n" in text[a:b] else blank * (b - a)]
         at = b
     return "".join([*parts, text[at:]])
@@ -319,9 +344,11 @@ def credential_spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [dict(zip(("line_no", "start", "end", "kind"), s)) for s in find(t)])
 
 
-@F.pandas_udf(T.StringType())
-def redacted(texts: pd.Series) -> pd.Series:
-    return texts.map(redact)
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("secrets", T.IntegerType())]))
+def redacted(texts: pd.Series) -> pd.DataFrame:
+    """Each text without its credentials, and how many those were; one search a text."""
+    spans = [find(t) for t in texts]
+    return pd.DataFrame({"text": [redact(t, held=s) for t, s in zip(texts, spans)], "secrets": [len(s) for s in spans]})
 
 
 def scan(chunks: DataFrame, key: str = "id", text: str = "text", at: str = "seenAt") -> DataFrame:
@@ -337,4 +364,5 @@ def scan(chunks: DataFrame, key: str = "id", text: str = "text", at: str = "seen
 
 def redact_rows(chunks: DataFrame, text: str = "text") -> DataFrame:
     """Every row with its text redacted and `secrets`, the number of credentials; all other columns as they are."""
-    return chunks.withColumn("secrets", F.size(credential_spans(F.col(text)))).withColumn(text, redacted(F.col(text)))
+    held = [c for c in chunks.columns if c not in (text, "secrets")]
+    return chunks.select(*held, redacted(F.col(text)).alias("__r")).select(*held, F.col("__r.text").alias(text), F.col("__r.secrets").alias("secrets"))

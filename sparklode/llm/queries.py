@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import current_rows, table
+from ..sources.tables import settled, table
 from . import bpe, credentials, docs, handwritten, packing, splitting, terms, topics
 
 QUERIES: dict = {}
@@ -25,8 +25,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    now = current_rows(table(spark, folder, "chunks"), ["fileId", "text"])
-    return credentials.redact_rows(now)
+    return credentials.redact_rows(settled(table(spark, folder, "chunks"), ["fileId", "text"]))
 
 
 @query
