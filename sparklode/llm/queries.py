@@ -109,7 +109,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p3_files(spark: SparkSession, folder: str) -> DataFrame:
     files = handwritten.classify(table(spark, folder, "files"), table(spark, folder, "chunks"))
-    return files.select("id", "language", "why", "lines", "max_line", "run")
+    return files.select("id", "language", "why", "by", "lines", "max_line", "run")
 
 
 @query
