@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -57,11 +57,12 @@ class SumOfSquares:
         return held, h
 
 
-def pack(sizes: Sequence[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+def pack(sizes: Sequence[int], capacity: int, tighten: bool = True) -> list[tuple[int, int, int, int, int]]:
     """(item, piece, container, place, size) in the order of `sizes`.
 
     An item above the capacity is divided into full containers and one rest; nothing else is divided. An item without tokens
-    takes no room and lies at the start of the packer's first container. When all items are placed, `close` tightens what is open.
+    takes no room and lies at the start of the packer's first container. With `tighten`, `close` repacks what is still open when all items are placed; without it every item
+    stays where the sum of squares put it.
     """
     packer, out = SumOfSquares(capacity), []
     for item, size in enumerate(sizes):
@@ -69,7 +70,7 @@ def pack(sizes: Sequence[int], capacity: int) -> list[tuple[int, int, int, int,
         if not pieces:
             out.append((item, 0, 0, 0, 0))
         out += [(item, piece, *packer.put(n), n) for piece, n in enumerate(pieces)]
-    return close(out, capacity)
+    return close(out, capacity) if tighten else out
 
 
 def close(placed: list[tuple[int, int, int, int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -106,7 +107,7 @@ def shares(df: DataFrame, rows: int, key: str) -> tuple[Column, int]:
     return F.pmod(F.xxhash64(key), F.lit(count)), count
 
 
-def fill(sized: DataFrame, capacities: dict[str, int], key: str = "doc_id", size: str = "tokens") -> DataFrame:
+def fill(sized: DataFrame, capacities: dict[str, int], key: str = "doc_id", size: str = "tokens", tighten: bool = True) -> DataFrame:
     """Packs every row once for each kind of container: kind, container, key, piece, place in it and tokens of the piece.
 
     Rows reach their packer by the hash of a key that is unique, so neither a source nor copies make one packer larger; the
@@ -125,14 +126,14 @@ def fill(sized: DataFrame, capacities: dict[str, int], key: str = "doc_id", size
         groups = groups.sort_values(["__order", key, "__size"], kind="stable")
         owner, keys, frames = int(groups["__share"].iloc[0]), groups[key].to_numpy(), []
         for name, capacity in sorted(capacities.items()):
-            placed = np.array(pack(groups["__size"].tolist(), capacity), np.int64).reshape(-1, 5)
+            placed = np.array(pack(groups["__size"].tolist(), capacity, tighten), np.int64).reshape(-1, 5)
             frames.append(pd.DataFrame({key: keys[placed[:, 0]], "applies_to": name, "container": placed[:, 2] * count + owner, "piece": placed[:, 1], "place": placed[:, 3], "tokens": placed[:, 4]}))
         return pd.concat(frames)
 
     return narrow.withColumn("__share", share).groupBy("__share").applyInPandas(run, f"`{key}` {kind}, {PLACED}")
 
 
-def pack_documents(documents: DataFrame, limits: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
+def pack_documents(documents: DataFrame, limits: DataFrame, path: str = bpe.VOCABULARY, tighten: bool = True) -> DataFrame:
     """The texts of `documents` in the token containers of `limits` (a table that doesn't grow: a handful of rows reach the driver).
 
     Token counts are written once to the shared checkpoint folder, as both the number of packers and the packing need them.
@@ -141,4 +142,19 @@ def pack_documents(documents: DataFrame, limits: DataFrame, path: str = bpe.VOCA
 
     rows = limits.where(F.col("applies_to").startswith("container.") & (F.lower("unit") == "tokens") & F.col("max_size").isNotNull())
     capacities = {r.applies_to: int(r.max_size) for r in rows.select("applies_to", "max_size").distinct().collect()}
-    return fill(cut(bpe.count_tokens(documents, path=path)), capacities)
+    return fill(cut(bpe.count_tokens(documents, path=path)), capacities, tighten=tighten)
+
+
+def faults(placed: DataFrame, limits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """applies_to, capacity, items, and how many containers are overfull, places are not where the piece before ends, and items are
+    divided though they fit: all of which must be 0. Containers are of bounded size, so no group is large."""
+    rows = limits.where(F.col("applies_to").startswith("container.")).select("applies_to", F.col("max_size").alias("capacity"))
+    rows = rows.groupBy("applies_to").agg(F.min("capacity").alias("capacity"))
+    held = placed.join(rows, "applies_to")
+    by = Window.partitionBy("applies_to", "container").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = held.where("tokens > 0").withColumn("__gap", F.col("place") != F.coalesce(F.sum("tokens").over(by), F.lit(0)))
+    containers = gaps.groupBy("applies_to", "container").agg((F.sum("tokens") > F.max("capacity")).alias("__over"), F.count_if("__gap").alias("__gaps"))
+    a = containers.groupBy("applies_to").agg(F.count_if("__over").alias("overfull"), F.sum("__gaps").alias("misplaced"))
+    items = held.groupBy("applies_to", key).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.max("capacity").alias("c"))
+    b = items.groupBy("applies_to").agg(F.count(F.lit(1)).alias("items"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("c"))).alias("divided"))
+    return rows.join(b, "applies_to").join(a, "applies_to", "left").select("applies_to", "capacity", "items", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("overfull", "misplaced", "divided")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..sources.tables import settled, table
 from . import bpe, credentials, docs, handwritten, packing, splitting, terms, topics
 
@@ -38,6 +39,16 @@ def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "size_limits"))
 
 
+@query
+def p9_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of p9_packed."""
+    limits = table(spark, folder, "size_limits")
+    return packing.faults(stored(p9_packed(spark, folder)), limits)
+
+
+ORACLES["p9_faults"] = "SELECT applies_to, max_size AS capacity, (SELECT count(*) FROM documents) AS items, 0::BIGINT AS overfull, 0::BIGINT AS misplaced, 0::BIGINT AS divided FROM size_limits WHERE applies_to LIKE 'container.%'"
+
+
 @query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_pieces(spark, folder).where("piece = 0").select("id")
@@ -53,6 +64,17 @@ WITH now AS (SELECT id, kind, text, row_number() OVER (PARTITION BY id ORDER BY
 SELECT id FROM now JOIN size_limits ON applies_to = 'chunks.' || kind WHERE k = 1 AND unit = 'characters' AND length(text) > max_size"""
 
 
+@query
+def p6_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """The oversized texts put together again from p6_pieces."""
+    return splitting.rebuilt(p6_pieces(spark, folder))
+
+
+ORACLES["p6_rebuilt"] = """
+WITH now AS (SELECT id, kind, text, row_number() OVER (PARTITION BY id ORDER BY seenAt DESC NULLS LAST) AS k FROM chunks WHERE id IS NOT NULL)
+SELECT id, length(text)::INT AS characters, md5(text) AS digest FROM now JOIN size_limits ON applies_to = 'chunks.' || kind WHERE k = 1 AND unit = 'characters' AND length(text) > max_size"""
+
+
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return terms.most_distinctive(terms.records(table(spark, folder, "chunks"))).select("id", "term")

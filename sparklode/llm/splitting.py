@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..sources.tables import newest_first
 
-PIECES = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("startLine", T.IntegerType()), ("endLine", T.IntegerType()), ("text", T.StringType()))]))
+PIECES = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("startLine", T.IntegerType()), ("endLine", T.IntegerType()), ("shared", T.IntegerType()), ("text", T.StringType()))]))
 LINE = re.compile(r"[^\n]*\n|[^\n]+")
 HEAD_COMMENT = re.compile(r"\s*(?://|#|--|/\*|<!--|;)")
 
@@ -58,7 +58,13 @@ def strength(left: str, right: str, same_line: bool) -> float:
 
 
 def split(text: str, limit: int, overlap: int) -> list[tuple[str, int, int]]:
-    """The pieces of `text` as (text, first line, last line), lines from 0 and all pieces of at most `limit` characters.
+    """The pieces of `text` as (text, first line, last line); see `split_parts`."""
+    return [part[:3] for part in split_parts(text, limit, overlap)]
+
+
+def split_parts(text: str, limit: int, overlap: int) -> list[tuple[str, int, int, int]]:
+    """The pieces of `text` as (text, first line, last line, characters shared with the piece before), lines from 0 and all pieces of
+    at most `limit` characters.
 
     Each piece after the first begins with the last `overlap` lines of the one before; where these don't fit beside the piece's
     own first atom, with as many of them as fit, down to none for lines that fill the limit alone. Without the overlaps the
@@ -67,7 +73,7 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[str, int, int]]:
     if limit < 1:
         raise ValueError("the limit must be positive")
     if len(text) <= limit:
-        return [(text, 0, max(0, len(LINE.findall(text)) - 1))]
+        return [(text, 0, max(0, len(LINE.findall(text)) - 1), 0)]
     cut = atoms(text, limit)
     n, sizes = len(cut), [len(a) for a, _ in cut]
     total = [0]
@@ -107,7 +113,7 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[str, int, int]]:
         start = shared[k]
         while start < k and total[end[k]] - total[start] > limit:
             start += 1
-        pieces.append(("".join(a for a, _ in cut[start : end[k]]), cut[start][1], cut[end[k] - 1][1]))
+        pieces.append(("".join(a for a, _ in cut[start : end[k]]), cut[start][1], cut[end[k] - 1][1], total[k] - total[start]))
         k = after[k]
     return pieces
 
@@ -131,13 +137,14 @@ def _pieces(text: pd.Series, limit: pd.Series, overlap: pd.Series, start: pd.Ser
             return None
         head, begin = head_lines(t, first, last), 1 if first is None or first != first else int(first)
         at = lambda line: begin + max(0, line - head)
-        return [{"piece": k, "startLine": at(a), "endLine": at(b), "text": p} for k, (p, a, b) in enumerate(split(t, int(most), int(shared)))]
+        return [{"piece": k, "startLine": at(a), "endLine": at(b), "shared": c, "text": p} for k, (p, a, b, c) in enumerate(split_parts(t, int(most), int(shared)))]
 
     return pd.Series([one(*row) for row in zip(text, limit, overlap, start, end)], dtype=object)
 
 
 def split_oversized(chunks: DataFrame, limits: DataFrame, key: str = "id", at: str = "seenAt") -> DataFrame:
-    """The pieces of every current chunk above its kind's limit: key, fileId, kind, piece from 0, startLine, endLine, text.
+    """The pieces of every current chunk above its kind's limit: key, fileId, kind, piece from 0, startLine, endLine,
+    shared (characters the piece has in common with the one before) and text.
 
     Only texts above the limit reach Python or the shuffle; rows within it travel as key and time alone, so that they can still
     replace an outdated oversized row. Limits come from a table of a few rows (`applies_to` = `chunks.<kind>`, unit characters;
@@ -155,3 +162,11 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, key: str = "id", at: s
     now = rows.select(key, "__at", F.when(big, body).alias("__body")).groupBy(key).agg(F.max_by("__body", "__at").alias("b")).where("b IS NOT NULL").select(key, "b.*")
     cut = now.select(key, "fileId", "kind", F.explode(_pieces("text", "most", "shared", "startLine", "endLine")).alias("p"))
     return cut.select(key, "fileId", "kind", "p.*")
+
+
+def rebuilt(pieces: DataFrame, key: str = "id") -> DataFrame:
+    """key, characters and digest (MD5) of what the pieces give when each one's own part follows that of the piece before. The pieces
+    of one text come together, as they were one text before."""
+    own = F.struct("piece", F.expr("substring(text, shared + 1)").alias("t"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(own)), lambda p: p["t"]), "")
+    return pieces.groupBy(key).agg(whole.alias("__t")).select(key, F.length("__t").alias("characters"), F.md5("__t").alias("digest"))

@@ -50,3 +50,11 @@ def test_rows(spark):
     assert [r.piece for r in a] == list(range(len(a))) and a[0].startLine == 11 and a[-1].endLine == 110 and all(len(r.text) <= 300 for r in a)
     assert all(y.startLine == x.endLine - 1 for x, y in zip(a, a[1:]))
     assert split_oversized(chunks.limit(0), limits).count() == 0 and split_oversized(chunks, limits.limit(0)).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab \n\r}é😀", min_size=1, max_size=300), st.integers(1, 60), st.integers(0, 3))
+def test_own_parts_make_the_text(text, limit, overlap):
+    from sparklode.llm.splitting import split_parts
+
+    assert "".join(p[shared:] for p, _, _, shared in split_parts(text, limit, overlap)) == text

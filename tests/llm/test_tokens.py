@@ -120,3 +120,17 @@ def test_fill(spark, monkeypatch):
     assert packing.fill(sized.limit(0), {"container.small": 100}).count() == 0
     with pytest.raises(ValueError):
         packing.fill(sized, {})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=80))
+def test_without_tightening_items_stay_where_the_squares_put_them(sizes):
+    packer = packing.SumOfSquares(50)
+    assert packing.pack(sizes, 50, tighten=False) == [(k, 0, *packer.put(n), n) for k, n in enumerate(sizes)]
+
+
+def test_faults_are_counted(spark):
+    limits = spark.createDataFrame([("container.small", 10), ("container.large", 30), ("chunks.doc", 5)], "applies_to string, max_size int")
+    rows = [(1, "container.small", 0, 0, 0, 6), (2, "container.small", 0, 0, 6, 5), (3, "container.small", 1, 0, 0, 2), (3, "container.small", 2, 1, 0, 2), (4, "container.small", 2, 0, 3, 1), (1, "container.large", 0, 0, 0, 6), (2, "container.large", 1, 0, 0, 0)]
+    got = {r.applies_to: tuple(r)[1:] for r in packing.faults(spark.createDataFrame(rows, "doc_id long, " + packing.PLACED), limits).collect()}
+    assert got == {"container.small": (10, 4, 1, 1, 1), "container.large": (30, 2, 0, 0, 0)}
