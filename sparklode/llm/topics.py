@@ -40,15 +40,16 @@ LEANS, PRIOR = 0.5, 3.0
 STRETCH = re.compile(r"\s*\S+|\s+")
 CODES = re.compile(r"[0-9A-Fa-f]{12,}|(?=[A-Za-z0-9+/]*\d)[A-Za-z0-9+/]{24,}={0,2}")
 WORD = re.compile(r"[A-Z]?[a-zà-öø-ÿ]+|[A-Z]+(?![a-z])|[぀-ヿ㐀-鿿가-힯]+")
-#: Marks in the order of terms: a line's end, and a code in a line, which makes it no text.
-BREAK, CODE = -1, -2
+#: Marks in the order of terms: a line's end, and a code in a line; a line with fewer than WORDS terms a code is no text but an entry
+#: of a list of digests, while a code within a sentence or a paragraph is only left out itself.
+BREAK, CODE, WORDS = -1, -2, 8
 #: Stretches a worker remembers, bytes of text and terms it works on at a time: they bound memory, not results.
 REMEMBERED, SLICE, TERMS = 300_000, 4_000_000, 1_000_000
 
 
 def columns_of(text: str) -> list[int]:
-    """The columns of a text's terms: parts of words in lower case from three letters on, and pairs of wide characters; long
-    a long code such as a digest is no text."""
+    """The columns of a text's terms: parts of words in lower case from three letters on, and pairs of wide characters; a
+    long code such as a digest is no text."""
     if len(text) > 11 and CODES.search(text):
         return [CODE]
     out = []
@@ -219,8 +220,8 @@ def mixtures(lists: pa.Array, columns: np.ndarray, place: np.ndarray, h: np.ndar
     n = len(lengths)
     owner = np.repeat(np.arange(n), lengths)
     line = np.cumsum((flat == BREAK) | np.r_[True, owner[1:] != owner[:-1]]) if len(flat) else np.empty(0, np.int64)
-    coded = np.zeros(int(line[-1]) + 1 if len(line) else 1, bool)
-    coded[line[flat == CODE]] = True
+    count = int(line[-1]) + 1 if len(line) else 1
+    coded = WORDS * np.bincount(line[flat == CODE], minlength=count) > np.bincount(line[flat >= 0], minlength=count)
     use = (flat >= 0) & (place[np.maximum(flat, 0)] >= 0) & ~coded[line]
     owner, line, at = owner[use], line[use], place[flat[use]]
     if not len(at):

@@ -41,3 +41,21 @@ def test_held_out(spark):
 
 def test_terms():
     assert columns_of("getUser") == columns_of("get user") and columns_of("of") == [] and columns_of("6b967691e7d6c35ab63c4a9a") == [CODE] and len(columns_of("样本按日期")) == 4
+
+
+def test_a_code_in_a_paragraph_is_only_left_out_itself():
+    import numpy as np
+    import pyarrow as pa
+
+    from sparklode.llm.topics import COLUMNS, Columns, mixtures
+
+    words = "violin chord tempo orchestra melody rhythm choir octave".split()
+    columns = np.array(sorted({c for w in words for c in columns_of(w)}))
+    place = np.full(COLUMNS, -1, np.int64)
+    place[columns] = np.arange(len(columns))
+    h = np.stack([np.full(len(columns), 1 / len(columns)), np.full(len(columns), 1e-9)]).astype(np.float32)
+    code = "6b967691e7d6c35ab63c4a9a977cbea214949f99"
+    lengths, flat = Columns().encode([" ".join(words) + f" since {code} " + " ".join(words), f"{code}  {words[0]}.{words[1]}\n{code}  {words[2]}.mid", None])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat.astype(np.int32)))
+    evidence, lines, distinct = mixtures(lists, columns, place, h, 1)
+    assert evidence[:, 0].tolist()[0] > 7 and distinct[:, 0].tolist() == [8, 0, 0] and lines[:, 0].tolist() == [1, 0, 0]
