@@ -16,6 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fixed
 from .functions.text import content_hash, count_lines, module_of
 from .operators import graph, records, retrieval
 from .parse.parser import exploded, parse_files
@@ -23,13 +24,6 @@ from .sources import scan as tree
 
 VERSION = 1
 TABLES = ("files", "symbols", "imports", "calls", "routes", "todos", "edges", "module_edges", "flows", "chunks")
-#: Names every language's runtime has, in lower case; a call of one is no missing link.
-BUILTINS = (
-    "console json object array string number boolean math promise date regexp error map set symbol bigint proxy reflect parseint parsefloat isnan isfinite structuredclone fetch settimeout setinterval clearinterval cleartimeout require "
-    "print len range str int float bool list dict tuple frozenset isinstance issubclass getattr setattr hasattr delattr enumerate zip sorted reversed sum min max abs open format repr type super id iter next any all round filter vars dir hash callable globals locals input exit "
-    "system arrays collections objects optional stream integer long double stringbuilder thread runtime println printf valueof fmt make append copy delete panic recover vec clone tostring unwrap expect ok err cap close puts gets nil self echo isset unset sprintf implode explode"
-).split()
-
 
 class Project:
     """A source tree with its state folder (by default `.sparklode` in the tree, which ignores itself)."""
@@ -145,12 +139,14 @@ def link(files: DataFrame, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     imports = imports.join(resolved, "id", "left").withColumn("targetModule", module_of(F.col("target"))).withColumn("resolved", F.col("target").isNotNull())
     bound = records.bind_names(imports, symbols)
     away = imports.where("external").select("fileId", F.explode("names").alias("name"))
-    known = files.sparkSession.createDataFrame([(b,) for b in BUILTINS], "name string")
+    known = files.sparkSession.createDataFrame([(b,) for b in dict.fromkeys(fixed.BUILTINS)], "name string")
     calls = t["calls"].withColumn("callee", F.concat_ws(".", "receiver", "callee"))
     how = records.bind_calls(calls.select("id", "fileId", "callee"), symbols, bound, known, away)
     first = symbols.groupBy("fileId", F.col("name").alias("fromSymbol")).agg(F.min_by("id", "line").alias("from_symbol"))
-    calls = calls.join(how, "id").join(first, ["fileId", "fromSymbol"], "left")
-    near = records.next_within(t["routes"].select("id", "fileId", F.col("line").alias("at")), symbols.where(F.col("kind").isin(*records.FUNCTION_KINDS)))
+    bodies = symbols.where(F.col("kind").isin(*records.FUNCTION_KINDS))
+    around = records.innermost(calls.where("fromSymbol IS NULL").select("id", "fileId", F.col("line").alias("at")), bodies).withColumnRenamed("symbol", "__around")
+    calls = calls.join(how, "id").join(first, ["fileId", "fromSymbol"], "left").join(around, "id", "left").withColumn("from_symbol", F.coalesce("from_symbol", "__around")).drop("__around")
+    near = records.next_within(t["routes"].select("id", "fileId", F.col("line").alias("at")), bodies)
     named = records.unique_names(symbols).select("fileId", F.col("name").alias("handler"), F.col("symbol").alias("__named"))
     routes = t["routes"].join(named, ["fileId", "handler"], "left").join(near.withColumnRenamed("symbol", "__near"), "id", "left").withColumn("handlerId", F.coalesce("__named", "__near")).drop("__named", "__near")
     fan = graph.weighted_edges(calls.where("to_symbol IS NOT NULL AND from_symbol IS NOT NULL"), "from_symbol", "to_symbol")

@@ -98,18 +98,30 @@ def bind_names(imports: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def bind_calls(calls: DataFrame, symbols: DataFrame, bound: DataFrame, builtins: DataFrame, external: DataFrame) -> DataFrame:
-    """id, to_symbol and resolution of calls (id, fileId, callee): same-file name, imported name, builtin, external or unresolved,
-    in that order. Four left joins on tables that have each key once."""
-    own = unique_names(symbols).select("fileId", F.col("name").alias("tail"), F.col("symbol").alias("__own"))
-    via = bound.select("fileId", F.col("name").alias("tail"), F.col("symbol").alias("__via"), F.lit(True).alias("__imported"))
-    known = builtins.select(F.col("name").alias("__low"), F.lit(True).alias("__builtin"))
-    away = external.select("fileId", F.col("name").alias("head"), F.lit(True).alias("__away")).distinct()
+    """id, to_symbol and resolution of calls (id, fileId, callee).
+
+    A bare name is the one symbol of that name in its file (`local`), else an imported name (`import`, with the target's symbol of
+    that name if it is one), else `global` for a builtin, else `external`. Of a name with a receiver the receiver decides: a builtin,
+    an external package, or an import, whose target's one symbol of the last name is meant. All else is `unresolved`. Left joins on
+    tables that have each key once.
+    """
     from ..functions.text import callee_tail
 
-    rows = calls.withColumn("tail", callee_tail(F.col("callee"))).withColumn("head", F.regexp_extract("callee", r"^([^.:]+)", 1)).withColumn("__low", F.lower("head"))
-    rows = rows.join(own, ["fileId", "tail"], "left").join(via, ["fileId", "tail"], "left").join(known, "__low", "left").join(away, ["fileId", "head"], "left")
-    how = F.when(F.col("__own").isNotNull(), "local").when(F.col("__imported"), "import").when(F.col("__builtin"), "global").when(F.col("__away"), "external").otherwise("unresolved")
-    return rows.select("id", F.coalesce("__own", F.when(F.col("__own").isNull(), F.col("__via"))).alias("to_symbol"), how.alias("resolution"))
+    one = unique_names(symbols)
+    own = one.select("fileId", F.col("name").alias("__bare"), F.col("symbol").alias("__own"))
+    via = bound.select("fileId", F.col("name").alias("__root"), F.col("target").alias("__target")).dropDuplicates(["fileId", "__root"])
+    there = one.select(F.col("fileId").alias("__target"), F.col("name").alias("__tail"), F.col("symbol").alias("__there"))
+    known = builtins.select(F.col("name").alias("__low"), F.lit(True).alias("__builtin")).distinct()
+    away = external.select("fileId", F.col("name").alias("__root"), F.lit(True).alias("__away")).distinct()
+    rows = calls.select("id", "fileId", callee_tail(F.col("callee")).alias("__tail"), "callee")
+    bare = F.col("callee") == F.col("__tail")
+    rows = rows.withColumn("__root", F.when(bare, F.col("__tail")).otherwise(F.regexp_extract("callee", r"^([^.:]+)", 1))).withColumn("__low", F.lower("__root")).withColumn("__bare", F.when(bare, F.col("__tail")))
+    rows = rows.join(own, ["fileId", "__bare"], "left").join(via, ["fileId", "__root"], "left").join(there, ["__target", "__tail"], "left").join(known, "__low", "left").join(away, ["fileId", "__root"], "left")
+    local, imported, named = F.col("__own").isNotNull(), F.col("__target").isNotNull(), F.col("__bare").isNotNull()
+    how = (
+        F.when(local, "local").when(named & imported, "import").when(F.coalesce("__builtin", F.lit(False)), "global").when(F.coalesce("__away", F.lit(False)), "external").when(imported, "import").otherwise("unresolved"))
+    rows = rows.withColumn("resolution", how)
+    return rows.select("id", F.coalesce("__own", F.when(F.col("resolution") == "import", F.col("__there"))).alias("to_symbol"), "resolution")
 
 
 def diff(old: DataFrame, new: DataFrame, key: str = "id", value: str = "hash") -> DataFrame:

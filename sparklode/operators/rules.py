@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions.text import base_name, extension_of
 
 #: What a scan leaves out unless told otherwise; the tool's own folders stand at the end.
@@ -25,25 +26,7 @@ SENSITIVE = (
     ("kubeconfig", "kubeconfig"), ("*.kubeconfig", "kubeconfig"), ("*.tfstate", "terraform-state"), ("terraform.tfstate*", "terraform-state"),
 )
 ENV_TEMPLATE = r"(?i)^(?:.*/)?\.env\.(?:example|sample|template|dist|example\.[a-z0-9]+)$"
-#: File kinds by patterns over the whole path, first match first.
-GENERATED = (r"\.pb\.go$", r"_pb2(?:_grpc)?\.py$", r"\.g\.dart$", r"\.min\.(?:js|css)$", r"\.map$", r"(?i)(?:^|/)(?:dist|build|out|generated|__generated__|vendor)/", r"(?i)\.designer\.cs$", r"(?i)\.generated\.")
-INFRA = (
-    r"(?i)(?:^|/)(?:\.github/workflows|\.gitlab-ci|\.circleci|\.azure|\.bitbucket)", r"(?i)(?:^|/)(?:k8s|kubernetes|helm|charts|deploy|deployment|infra|terraform)/", r"(?i)\.tf(?:vars)?$",
-    r"(?i)(?:^|/)Dockerfile[^/]*$", r"(?i)(?:^|/)(?:Jenkinsfile|serverless\.ya?ml|Chart\.yaml|playbook[^/]*\.ya?ml|ansible\.cfg|Procfile|fly\.toml|vercel\.json)$", r"(?i)(?:^|/)\.github/dependabot\.yml$",
-)
-TEST = (r"(?i)(?:^|/)(?:test|tests|__tests__|spec|specs|e2e|testing)/", r"(?i)\.(?:test|spec)\.[a-z]+$", r"(?:^|/)(?:test_|conftest)", r"(?i)_test\.[a-z]+$", r"Tests?\.java$")
-CONFIG_NAMES = (
-    r"\.?env(?:\.[^/]*)?$", r"\.(?:eslintrc|prettierrc|babelrc)[^/]*$", r"\.(?:editorconfig|npmrc|nvmrc|flake8|coveragerc|sparklodeignore|gitignore|dockerignore|gitattributes)$", r"[tj]sconfig[^/]*\.json$",
-    r"(?:jest|vite|webpack|rollup|next|nuxt|tailwind|postcss|babel|eslint)\.config[^/]*$", r"docker-compose[^/]*\.ya?ml$", r"(?:nginx\.conf|ruff\.toml|mypy\.ini|pytest\.ini|tox\.ini)$", r"requirements[^/]*\.txt$",
-    r"(?:package\.json|pyproject\.toml|setup\.(?:py|cfg)|pom\.xml|build\.gradle(?:\.kts)?|go\.mod|Cargo\.toml|composer\.json|Gemfile|settings\.gradle|Makefile|CMakeLists\.txt)$", r"[^/]*\.csproj$",
-)
-ASSETS = ".css .scss .sass .less .svg .png .jpg .jpeg .gif .ico .webp .woff .woff2 .ttf .eot .mp4 .mp3 .pdf .csv .parquet .ipynb".split()
-#: Languages by extension.
-LANGUAGES = {
-    "typescript": ".ts .mts .cts", "javascript": ".js .mjs .cjs", "tsx": ".tsx", "jsx": ".jsx", "python": ".py .pyi", "java": ".java", "go": ".go", "rust": ".rs", "c": ".c .h", "cpp": ".cc .cpp .cxx .hpp .hh",
-    "csharp": ".cs", "ruby": ".rb", "php": ".php", "kotlin": ".kt .kts", "scala": ".scala", "swift": ".swift", "shell": ".sh .bash .zsh", "sql": ".sql", "vue": ".vue", "svelte": ".svelte", "html": ".html .htm",
-    "css": ".css .scss .less .sass", "yaml": ".yml .yaml", "json": ".json .json5 .jsonc", "markdown": ".md .mdx .markdown",
-}
+#: Lock files.
 LOCK_FILES = "package-lock.json npm-shrinkwrap.json pnpm-lock.yaml yarn.lock bun.lockb poetry.lock pipfile.lock cargo.lock gemfile.lock composer.lock go.sum".split()
 
 
@@ -111,20 +94,48 @@ def sensitive_kind(path: Column, extra: Sequence[str] = ()) -> Column:
     return chain
 
 
+def any_of(value: Column, patterns: Sequence[str]) -> Column:
+    """Whether one of the patterns is found in `value`; all are one regex, so a list costs one pass."""
+    scoped = [f"(?i:{java(p[4:])})" if p.startswith("(?i)") else f"(?:{java(p)})" for p in patterns]
+    return value.rlike("|".join(scoped))
+
+
+def first_of(value: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """What the first rule found in `value` stands for, null for none."""
+    chain = F.when(F.lit(False), F.lit(None).cast("string"))
+    for pattern, name in rules:
+        chain = chain.when(value.rlike(java(pattern)), name)
+    return chain
+
+
 def file_kind(path: Column, language: Column) -> Column:
     """generated, infra, test, config, docs, asset or source, first match first."""
-    any_of = lambda patterns: path.rlike("|".join(f"(?:{java(p)})" for p in patterns))
+    base = base_name(path)
     text = F.when(path.startswith("docs/"), "docs").otherwise("asset")
     return (
-        F.when(any_of(GENERATED), "generated").when(any_of(INFRA), "infra").when(any_of(TEST), "test")
-        .when(base_name(path).rlike("(?i)^(?:" + "|".join(java(p) for p in CONFIG_NAMES) + ")"), "config")
-        .when((language == "markdown") | path.rlike(r"(?i)\.(?:md|mdx|rst|adoc)\z"), "docs").when(extension_of(path).isin(ASSETS), "asset")
+        F.when(any_of(path, fixed.GENERATED_PATHS), "generated").when(any_of(path, fixed.INFRA_PATHS) | any_of(base, fixed.INFRA_PATHS), "infra").when(any_of(path, fixed.TEST_PATHS), "test")
+        .when(any_of(base, fixed.CONFIG_NAMES), "config")
+        .when((language == "markdown") | path.rlike(r"(?i)\.(?:md|mdx|rst|adoc)\z"), "docs").when(extension_of(path).isin(*fixed.ASSETS), "asset")
         .when(language.isin("json", "yaml"), "config").when(language == "text", text).otherwise("source")
     )
 
 
 def language_of(path: Column) -> Column:
-    """The language of a path by name and extension; `text` for readme and licence files and for unknown ones."""
-    base, extension = F.lower(base_name(path)), extension_of(path)
-    by_extension = F.create_map(*[F.lit(x) for name, all_of in LANGUAGES.items() for e in all_of.split() for x in (e, name)])[extension]
-    return F.when(base.rlike(r"^dockerfile"), "dockerfile").when(base.rlike(r"^makefile"), "makefile").otherwise(F.coalesce(by_extension, F.lit("text")))
+    """The language of a path: by its whole name, its beginning, its extension, else `text`."""
+    base = F.lower(base_name(path))
+    table = lambda rows: F.create_map(*[F.lit(x) for pair in rows.items() for x in pair])
+    return (
+        F.when(table(fixed.NAME_LANGUAGES)[base].isNotNull(), table(fixed.NAME_LANGUAGES)[base]).when(base.startswith("dockerfile") | base.startswith("makefile"), "text")
+        .when(table(fixed.EXTENSION_LANGUAGES)[extension_of(path)].isNotNull(), table(fixed.EXTENSION_LANGUAGES)[extension_of(path)])
+        .when(base.startswith("readme."), "markdown").otherwise("text")
+    )
+
+
+def path_roles(path: Column) -> Column:
+    """What else a path tells, as a struct: config (its kind or null), ci (the service or null), docs, container, infra, test and
+    generated."""
+    base = base_name(path)
+    docs = base.rlike(r"(?i)^(?:readme|changelog|contributing)") | path.rlike(r"(?i)(^|/)(adr|docs?)/") & base.rlike(r"(?i)\.(?:md|mdx|markdown|txt|rst|adoc)\z") | ~path.contains("/") & base.rlike(r"(?i)\.(?:md|mdx|markdown|rst)\z")
+    return F.struct(
+        F.coalesce(first_of(base, fixed.CONFIG_KINDS), first_of(path, fixed.CONFIG_FOLDERS)).alias("config"), first_of(path, fixed.CI_SERVICES).alias("ci"), docs.alias("docs"), any_of(base, fixed.CONTAINER_NAMES).alias("container"),
+        (any_of(base, fixed.CODE_OF_INFRA_NAMES) | any_of(path, fixed.CODE_OF_INFRA_PATHS)).alias("infra"), any_of(path, fixed.TEST_FILES).alias("test"), any_of(path, fixed.GENERATED_FILES).alias("generated"))

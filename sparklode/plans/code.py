@@ -77,16 +77,24 @@ def module_edges(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- paths and rules
 
 
-def _sql_any(column: str, patterns) -> str:
-    return "(" + " OR ".join(f"regexp_matches({column}, '{p}')" for p in patterns) + ")"
-
-
-_KIND = f"""CASE WHEN {_sql_any('id', rules.GENERATED)} THEN 'generated' WHEN {_sql_any('id', rules.INFRA)} THEN 'infra' WHEN {_sql_any('id', rules.TEST)} THEN 'test'
- WHEN regexp_matches(base, '(?i)^(?:{'|'.join(rules.CONFIG_NAMES)})') THEN 'config' WHEN language = 'markdown' OR regexp_matches(id, '(?i)\\.(?:md|mdx|rst|adoc)$') THEN 'docs'
- WHEN ext IN ({', '.join(repr(a) for a in rules.ASSETS)}) THEN 'asset' WHEN language IN ('json', 'yaml') THEN 'config'
- WHEN language = 'text' THEN CASE WHEN starts_with(id, 'docs/') THEN 'docs' ELSE 'asset' END ELSE 'source' END"""
-_LANGUAGE = "CASE WHEN starts_with(lower(base), 'dockerfile') THEN 'dockerfile' WHEN starts_with(lower(base), 'makefile') THEN 'makefile' " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in v.split())}) THEN '{k}'" for k, v in rules.LANGUAGES.items()) + " ELSE 'text' END"
-_NAMED = f"WITH {FILES}, n AS (SELECT *, regexp_extract(id, '[^/]*$') AS base, lower(regexp_extract(id, '[^/](\\.[^./]*)$', 1)) AS ext FROM f), k AS (SELECT *, {_LANGUAGE} AS language FROM n), g AS (SELECT *, {_KIND} AS kind FROM k)"
+#: Written apart from the operators' tables, so that a wrong table or pattern shows.
+_LANGUAGE = """CASE WHEN lower(base) IN ('rakefile', 'gemfile') THEN 'ruby' WHEN lower(base) IN ('readme', 'changelog') THEN 'markdown' WHEN lower(base) IN ('.bashrc', '.zshrc') THEN 'shell' WHEN lower(base) IN ('.babelrc', '.eslintrc', '.prettierrc', '.stylelintrc') THEN 'json'
+ WHEN lower(base) IN ('cmakelists.txt', 'requirements.txt') OR starts_with(lower(base), 'dockerfile') OR starts_with(lower(base), 'makefile') THEN 'text'
+ WHEN ext IN ('.ts', '.mts', '.cts') THEN 'typescript' WHEN ext IN ('.js', '.mjs', '.cjs') THEN 'javascript' WHEN ext IN ('.tsx', '.jsx', '.java', '.go', '.swift', '.sql', '.vue', '.svelte', '.php', '.scala', '.c') THEN substr(ext, 2) WHEN ext IN ('.py', '.pyi') THEN 'python' WHEN ext = '.rs' THEN 'rust'
+ WHEN ext = '.h' THEN 'c' WHEN ext IN ('.cc', '.cpp', '.cxx', '.hpp', '.hh') THEN 'cpp' WHEN ext = '.cs' THEN 'csharp' WHEN ext = '.rb' THEN 'ruby' WHEN ext IN ('.kt', '.kts') THEN 'kotlin' WHEN ext = '.sc' THEN 'scala' WHEN ext IN ('.sh', '.bash', '.zsh') THEN 'shell'
+ WHEN ext IN ('.html', '.htm') THEN 'html' WHEN ext IN ('.css', '.scss', '.sass', '.less') THEN 'css' WHEN ext IN ('.yaml', '.yml') THEN 'yaml' WHEN ext IN ('.json', '.jsonc') THEN 'json' WHEN ext IN ('.md', '.markdown', '.mdx') OR starts_with(lower(base), 'readme.') THEN 'markdown' ELSE 'text' END"""
+_KIND = """CASE WHEN id LIKE '%.pb.go' OR id LIKE '%\\_pb2.py' ESCAPE '\\' OR id LIKE '%\\_pb2\\_grpc.py' ESCAPE '\\' OR id LIKE '%.g.dart' OR id LIKE '%.min.js' OR id LIKE '%.min.css' OR id LIKE '%.map' OR id ILIKE '%.designer.cs' OR id ILIKE '%.generated.%'
+  OR len(list_intersect(folders, ['dist', 'build', 'out', 'generated', '__generated__', 'vendor'])) > 0 THEN 'generated'
+ WHEN len(list_intersect(folders, ['k8s', 'kubernetes', 'helm', 'charts', 'deploy', 'deployment', 'infra', 'terraform'])) > 0 OR contains('/' || lower(id), '/.github/workflows') OR contains('/' || lower(id), '/.gitlab-ci') OR contains('/' || lower(id), '/.circleci') OR contains('/' || lower(id), '/.azure') OR contains('/' || lower(id), '/.bitbucket')
+  OR lower(id) = '.github/dependabot.yml' OR ext IN ('.tf', '.tfvars') OR base ILIKE 'dockerfile%' OR lower(base) IN ('jenkinsfile', 'serverless.yml', 'serverless.yaml', 'chart.yaml', 'ansible.cfg', 'procfile', 'fly.toml', 'vercel.json') OR (base ILIKE 'playbook%' AND ext IN ('.yml', '.yaml')) THEN 'infra'
+ WHEN len(list_intersect(folders, ['test', 'tests', '__tests__', 'spec', 'specs', 'e2e', 'testing'])) > 0 OR regexp_matches(base, '[.](test|spec)[.][A-Za-z]+$') OR starts_with(base, 'test_') OR contains(id, '/test_') OR starts_with(id, 'conftest') OR contains(id, '/conftest') OR regexp_matches(base, '_test[.][A-Za-z]+$') OR base LIKE '%Test.java' OR base LIKE '%Tests.java' THEN 'test'
+ WHEN lower(base) IN ('.env', 'env', '.editorconfig', '.npmrc', '.nvmrc', 'nginx.conf', 'ruff.toml', 'mypy.ini', '.flake8', 'pytest.ini', 'tox.ini', '.coveragerc', 'package.json', 'pyproject.toml', 'setup.py', 'setup.cfg', 'pom.xml', 'build.gradle', 'build.gradle.kts', 'go.mod', 'cargo.toml', 'composer.json', 'gemfile', 'settings.gradle', 'makefile', 'cmakelists.txt', '.sparklodeignore', '.gitignore', '.dockerignore', '.gitattributes')
+  OR base ILIKE '.env.%' OR base ILIKE 'env.%' OR base ILIKE '.eslintrc%' OR base ILIKE '.prettierrc%' OR base ILIKE '.babelrc%' OR (base ILIKE 'tsconfig%' OR base ILIKE 'jsconfig%') AND ext = '.json' OR split_part(lower(base), '.config', 1) IN ('jest', 'vite', 'webpack', 'rollup', 'next', 'nuxt', 'tailwind', 'postcss', 'babel', 'eslint') AND contains(lower(base), '.config')
+  OR base ILIKE 'docker-compose%' AND ext IN ('.yml', '.yaml') OR base ILIKE 'requirements%' AND ext = '.txt' OR ext = '.csproj' THEN 'config'
+ WHEN language = 'markdown' OR ext IN ('.md', '.mdx', '.rst', '.adoc') THEN 'docs'
+ WHEN ext IN ('.css', '.scss', '.sass', '.less', '.svg', '.png', '.jpg', '.jpeg', '.gif', '.ico', '.webp', '.woff', '.woff2', '.ttf', '.eot', '.mp4', '.mp3', '.pdf', '.csv', '.parquet', '.ipynb') THEN 'asset'
+ WHEN language IN ('json', 'yaml') THEN 'config' WHEN language = 'text' THEN CASE WHEN starts_with(id, 'docs/') THEN 'docs' ELSE 'asset' END ELSE 'source' END"""
+_NAMED = f"WITH {FILES}, n AS (SELECT *, regexp_extract(id, '[^/]*$') AS base, lower(regexp_extract(id, '[^/](\\.[^./]*)$', 1)) AS ext, list_transform(string_split(id, '/')[:-2], lambda x: lower(x)) AS folders FROM f), k AS (SELECT *, {_LANGUAGE} AS language FROM n), g AS (SELECT *, {_KIND} AS kind FROM k)"
 
 
 @query(_NAMED + "SELECT id, language, kind FROM g")
@@ -103,24 +111,49 @@ def path_parts(spark, folder):
 _RULES = [*rules.IGNORED, "!**/vendor/**/*.go", "docs/", "!README.md", "*_{test,spec}.*"]
 
 
-def _fold(rows) -> str:
-    sql = "false"
-    for regex, ignores in rules.parse_rules(rows):
-        sql = f"CASE WHEN regexp_matches(id, '{regex}') THEN {str(ignores).lower()} ELSE {sql} END"
-    return sql
+_ANY = "len(list_filter(string_split(id, '/'), lambda s: {0})) > 0"
+_IGNORED = f"""CASE WHEN {_ANY.format("s LIKE '%~_test.%' ESCAPE '~' OR s LIKE '%~_spec.%' ESCAPE '~'")} THEN true WHEN {_ANY.format("s = 'README.md'")} THEN false WHEN {_ANY.format("s = 'docs'")} THEN true WHEN regexp_matches(id, '^([^/]+/)*vendor/([^/]+/)*[^/]*[.]go(/.*)?$') THEN false
+ ELSE {_ANY.format("s LIKE '%.min.js' OR s LIKE '%.min.css' OR s LIKE '%.map' OR s LIKE '%.lock' OR s LIKE '%.log' OR s LIKE '%.snap' OR s IN ('node_modules', 'bower_components', '.pnpm-store', '.yarn', '.git', '.hg', '.svn', 'dist', 'build', 'out', 'target', 'coverage', '.nyc_output', '.next', '.nuxt', '.svelte-kit', '.turbo', '.cache', '.parcel-cache', '.angular', '.dart_tool', 'DerivedData', 'Pods', '.venv', 'venv', '__pycache__', '.pytest_cache', '.mypy_cache', '.ruff_cache', '.tox', '.gradle', '.idea', '.vscode', '.terraform', '.serverless', '.fusebox', '.dynamodb', '.sass-cache', 'vendor', '.DS_Store', '.eslintcache', 'package-lock.json', 'pnpm-lock.yaml', 'yarn.lock', '.sparklode', 'sparklode-report')")} END"""
 
 
-@query(f"WITH {FILES} SELECT id, {_fold(_RULES)} AS ignored FROM f")
+@query(f"WITH {FILES} SELECT id, {_IGNORED} AS ignored FROM f")
 def ignored_paths(spark, folder):
     return files(spark, folder).select("id", rules.ignored(F.col("id"), _RULES).alias("ignored"))
 
 
-_SENSITIVE = f"CASE WHEN regexp_matches(id, '{rules.ENV_TEMPLATE}') THEN 'env-template' " + " ".join(f"WHEN regexp_matches(id, '{rules.glob_regex(p)}') OR regexp_matches(lower(id), '{rules.glob_regex(p)}') THEN '{k}'" for p, k in rules.SENSITIVE) + " END"
-
-
-@query(f"WITH {FILES} SELECT id, kind FROM (SELECT id, {_SENSITIVE} AS kind FROM f) WHERE kind IS NOT NULL")
+#: What paths of all kinds are, by hand: path, language, kind, what a sensitive one holds, whether a scan leaves it out, kind of configuration, build service.
+PLANTED = (
+    ("src/app.ts", "typescript", "source", None, False, None, None), ("src/App.TSX", "tsx", "source", None, False, None, None), ("lib/a.test.js", "javascript", "test", None, False, None, None), ("tests/conftest.py", "python", "test", None, False, None, None),
+    ("pkg/util_test.go", "go", "test", None, False, None, None), ("src/main/java/UserTests.java", "java", "test", None, False, None, None), ("src/latest.py", "python", "source", None, False, None, None), ("contest.py", "python", "source", None, False, None, None),
+    ("README", "markdown", "docs", None, False, None, None), ("README.rst", "markdown", "docs", None, False, None, None), ("CHANGELOG", "markdown", "docs", None, False, None, None), ("docs/guide.md", "markdown", "docs", None, False, None, None), ("docs/plain.txt", "text", "docs", None, False, None, None), ("notes.txt", "text", "asset", None, False, None, None),
+    ("Rakefile", "ruby", "source", None, False, None, None), ("Gemfile", "ruby", "config", None, False, None, None), ("Gemfile.lock", "text", "asset", None, True, None, None), ("Makefile", "text", "config", None, False, "build", None), ("CMakeLists.txt", "text", "config", None, False, "build", None), ("LICENSE", "text", "asset", None, False, None, None),
+    ("Dockerfile", "text", "infra", None, False, None, None), ("deploy/Dockerfile.dev", "text", "infra", None, False, None, None), ("Jenkinsfile", "text", "infra", None, False, None, "jenkins"), ("ci/Jenkinsfile", "text", "infra", None, False, None, "jenkins"), (".github/workflows/ci.yml", "yaml", "infra", None, False, None, "github-actions"), (".gitlab-ci.yml", "yaml", "infra", None, False, None, "gitlab-ci"),
+    ("infra/main.tf", "text", "infra", None, False, None, None), ("prod.tfvars", "text", "infra", None, False, None, None), ("playbook-web.yaml", "yaml", "infra", None, False, None, None), ("fly.toml", "text", "infra", None, False, None, None), (".travis.yml", "yaml", "config", None, False, None, "travis"), ("azure-pipelines.yml", "yaml", "config", None, False, None, "azure-pipelines"),
+    (".eslintrc", "json", "config", None, False, "lint", None), (".eslintrc.js", "javascript", "config", None, False, "lint", None), (".babelrc", "json", "config", None, False, "build", None), ("tsconfig.json", "json", "config", None, False, "typescript", None), ("tsconfig.base.json", "json", "config", None, False, "typescript", None), ("vite.config.ts", "typescript", "config", None, False, "build", None),
+    ("my.config.yaml", "yaml", "config", None, False, "app", None), ("application-prod.yml", "yaml", "config", None, False, "app", None), ("config/db.json", "json", "config", None, False, "runtime", None), ("docker-compose.dev.yml", "yaml", "config", None, False, "container", None), ("compose.yaml", "yaml", "config", None, False, "container", None), ("requirements-dev.txt", "text", "config", None, False, None, None), ("App.csproj", "text", "config", None, False, None, None), ("turbo.json", "json", "config", None, False, "workspace", None),
+    ("api/user.pb.go", "go", "generated", None, False, None, None), ("api/user_pb2_grpc.py", "python", "generated", None, False, None, None), ("web/app.min.js", "javascript", "generated", None, True, None, None), ("dist/app.js", "javascript", "generated", None, True, None, None), ("a/vendor/x.go", "go", "generated", None, True, None, None), ("ui/Main.designer.cs", "csharp", "generated", None, False, None, None), ("build.rs", "rust", "source", None, False, None, None), ("app.js.map", "text", "generated", None, True, None, None),
+    ("logo.SVG", "text", "asset", None, False, None, None), ("site.scss", "css", "asset", None, False, None, None), ("data.csv", "text", "asset", None, False, None, None), ("schema.sql", "sql", "source", None, False, None, None), ("run.bash", "shell", "source", None, False, None, None), (".zshrc", "shell", "source", None, False, None, None), ("x.h", "c", "source", None, False, None, None), ("x.hpp", "cpp", "source", None, False, None, None),
+    (".env", "text", "config", "env", False, "env", None), (".env.local", "text", "config", "env", False, "env", None), (".env.example", "text", "config", "env-template", False, "env", None), ("certs/server.pem", "text", "asset", "certificate", False, None, None), ("keys/id_rsa", "text", "asset", "ssh-key", False, None, None), ("id_ed25519.pub", "text", "asset", "ssh-key", False, None, None), ("secrets.yaml", "yaml", "config", "secrets", False, None, None),
+    ("config/credentials.json", "json", "config", "credentials", False, "runtime", None), (".npmrc", "text", "config", "registry-token", False, None, None), ("home/.aws/config", "text", "asset", None, False, None, None), (".aws/config", "text", "asset", "cloud-credentials", False, None, None), ("a.p12", "text", "asset", "keystore", False, None, None), ("terraform.tfstate.backup", "text", "asset", "terraform-state", False, None, None), ("kubeconfig", "text", "asset", "kubeconfig", False, None, None),
+    ("node_modules/x/index.js", "javascript", "source", None, True, None, None), ("a/.git/config", "text", "asset", None, True, None, None), ("srv/debug.log", "text", "asset", None, True, None, None), ("src/.cache/x.py", "python", "source", None, True, None, None), ("poetry.lock", "text", "asset", None, True, None, None),
+)
+_PATHS = ("path", "language", "kind", "sensitive", "ignored", "config", "ci")
+_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in row) + ")" for row in PLANTED)
+
+
+@query(f"SELECT * FROM (VALUES {_ROWS}) t({', '.join(_PATHS)})")
+def planted_paths(spark, folder):
+    """Every path rule over paths whose results are written down."""
+    p = F.col("path")
+    rows = spark.createDataFrame([(row[0],) for row in PLANTED], "path string").withColumn("language", rules.language_of(p))
+    return rows.select("path", "language", rules.file_kind(p, F.col("language")).alias("kind"), rules.sensitive_kind(p).alias("sensitive"), rules.ignored(p).alias("ignored"), rules.path_roles(p)["config"].alias("config"), rules.path_roles(p)["ci"].alias("ci"))
+
+
+@query(f"WITH {FILES}, p AS (SELECT id, regexp_extract(lower(id), '[^/]*$') AS base FROM f UNION ALL SELECT path, regexp_extract(lower(path), '[^/]*$') FROM (VALUES {_ROWS}) t({', '.join(_PATHS)})) SELECT id, CASE WHEN base = '.env.example' THEN 'env-template' WHEN starts_with(base, '.env') THEN 'env' WHEN base LIKE '%.pem' THEN 'certificate' WHEN base LIKE '%.key' THEN 'private-key' WHEN starts_with(base, 'id_rsa') OR starts_with(base, 'id_ed25519') THEN 'ssh-key' WHEN starts_with(base, 'credentials') THEN 'credentials' WHEN starts_with(base, 'secrets') THEN 'secrets' WHEN base = '.npmrc' THEN 'registry-token' WHEN base LIKE '%.p12' THEN 'keystore' WHEN starts_with(id, '.aws/') THEN 'cloud-credentials' WHEN base = 'kubeconfig' THEN 'kubeconfig' WHEN starts_with(base, 'terraform.tfstate') OR base LIKE '%.tfstate' THEN 'terraform-state' END AS kind FROM p WHERE kind IS NOT NULL")
 def sensitive_paths(spark, folder):
-    return files(spark, folder).select("id", rules.sensitive_kind(F.col("id")).alias("kind")).where("kind IS NOT NULL")
+    """The files of the table and the planted paths, as no file of the table is sensitive."""
+    paths = files(spark, folder).select("id").unionByName(spark.createDataFrame([(row[0],) for row in PLANTED], "id string"))
+    return paths.select("id", rules.sensitive_kind(F.col("id")).alias("kind")).where("kind IS NOT NULL")
 
 
 # ---------------------------------------------------------------- roll-ups and checks
@@ -271,16 +304,18 @@ def import_walks(spark, folder):
     return G.walks(starts, edges)
 
 
-@query(_NAMED + f""", {IMPORTS}, e AS (SELECT DISTINCT a, b FROM (SELECT moduleId AS a, {MODULE.format('target')} AS b FROM i WHERE target IS NOT NULL) WHERE a <> b), fan AS (SELECT b AS id, count(*) AS fan_in FROM e GROUP BY b),
+_MODULE_KIND = """kc AS (SELECT moduleId, kind, count(*) AS n, kind NOT IN ('test', 'generated') AS m FROM g GROUP BY ALL), kr AS (SELECT *, rank() OVER (PARTITION BY moduleId ORDER BY m DESC, n DESC) AS k FROM kc), kt AS (SELECT moduleId AS id, CASE WHEN count(*) > 1 THEN 'mixed' ELSE min(kind) END AS kind FROM kr WHERE k = 1 GROUP BY 1)"""
+
+
+@query(_NAMED.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {MODULE_EDGES}, {_MODULE_KIND}, fan AS (SELECT b AS id, count(*) AS fan_in FROM e GROUP BY b), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), cyc AS (SELECT DISTINCT a AS id FROM r WHERE a = b),
 l AS (SELECT moduleId AS id, count(*) AS links, count_if(resolved IS NOT TRUE AND "external" IS NOT TRUE) AS unresolved FROM i GROUP BY 1),
 m AS (SELECT moduleId AS id, sum(coalesce(loc, 0)) AS loc, bool_or(kind = 'test') AS has_test FROM g GROUP BY 1),
-v AS (SELECT m.id, CASE WHEN coalesce(fan_in, 0) >= 10 THEN 3 WHEN coalesce(fan_in, 0) >= 5 THEN 2 ELSE 0 END + CASE WHEN coalesce(unresolved, 0) >= 5 AND unresolved / greatest(links, 1) > 0.6 THEN 2 ELSE 0 END
-  + CASE WHEN NOT has_test THEN 1 ELSE 0 END + CASE WHEN loc > 2000 THEN 1 ELSE 0 END AS score FROM m LEFT JOIN fan USING (id) LEFT JOIN l USING (id))
-SELECT id, score FROM v WHERE score > 0""")
+v AS (SELECT m.id, CASE WHEN coalesce(fan_in, 0) >= 10 THEN 3 WHEN coalesce(fan_in, 0) >= 5 THEN 2 ELSE 0 END + CASE WHEN cyc.id IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN coalesce(unresolved, 0) >= 5 AND unresolved / greatest(links, 1) > 0.6 THEN 2 ELSE 0 END
+  + CASE WHEN NOT has_test AND kt.kind IN ('source', 'mixed') THEN 1 ELSE 0 END + CASE WHEN loc > 2000 THEN 1 ELSE 0 END AS score FROM m LEFT JOIN kt USING (id) LEFT JOIN fan USING (id) LEFT JOIN l USING (id) LEFT JOIN cyc ON cyc.id = m.id)
+SELECT id, least(10, score)::INT AS score FROM v WHERE score > 0""")
 def module_risk(spark, folder):
-    """The part of module_risks its SQL has: scores without the cycle rule, every module as source."""
-    modules = _linked_modules(spark, folder).withColumn("kind", F.lit("source"))
-    return G.risk(modules, module_edges(spark, folder), modules.limit(0), limit=None).select("id", "score")
+    """The scores of module_risks, by all rules."""
+    return module_risks(spark, folder).select("id", "score")
 
 
 @query()
