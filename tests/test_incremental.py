@@ -86,3 +86,38 @@ def test_a_number_is_taken_once(spark, tmp_path):
     with pytest.raises(RuntimeError, match="committed already"):
         log.commit(1, "other", 0, 0)
     assert log.manifest(1)["rows"] == 1 and log.sequence() == [1]
+
+
+def test_results_are_committed_with_the_watermark(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "state"))
+    now = chunks(spark, ("a", "1", 1), ("b", "2", 1))
+    made = lambda df: {"names": df.select("chunkId", "hash")}
+
+    def broken(df):
+        return {"names": df.select("chunkId", "hash"), "other": df.selectExpr("assert_true(false, 'lost')")}
+
+    assert log.results("names") is None
+    with pytest.raises(Exception, match="lost"):
+        run_once(log, now, produce=broken)
+    assert log.watermark() == 0 and log.results("names") is None
+    run_once(log, now, produce=made)
+    run_once(log, now, produce=made)
+    run_once(log, chunks(spark, ("a", "1", 1), ("b", "3", 2)), produce=made)
+    assert sorted(tuple(r) for r in log.results("names").collect()) == [("a", "1"), ("b", "2"), ("b", "3")]
+    assert [tuple(r) for r in log.results("names", upper=1).orderBy("chunkId").collect()] == [("a", "1"), ("b", "2")]
+    assert len(log.vacuum()) == 3 and log.results("names").count() == 3  # all that the broken run left
+
+
+def test_a_snapshot_changes_nothing_but_what_is_opened(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "state"))
+    for k in range(4):
+        run_once(log, chunks(spark, ("a", "1", 1), ("b", str(k), k)))
+    last = lambda: sorted((r.chunkId, r.runId, r.hash) for r in log.ledger().collect())
+    assert len(last()) == 5
+    assert log.compact() == 4 and last() == [("a", 1, "1"), ("b", 4, "3")] and log.compact() == 4
+    opened = []
+    log.manifest = lambda n, read=log.manifest: opened.append(n) or read(n)
+    assert run_once(log, chunks(spark, ("a", "1", 1), ("b", "9", 9)))["rows"] == 1 and opened == []
+    assert last() == [("a", 1, "1"), ("b", 4, "3"), ("b", 5, "9")] and log.ledger(2).count() == 3
+    assert run_once(log, chunks(spark, ("a", "1", 1), ("b", "9", 9)))["rows"] == 0
+    assert log.compact() == 6 and last() == [("a", 1, "1"), ("b", 5, "9")]
