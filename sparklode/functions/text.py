@@ -34,10 +34,13 @@ def tokenize(text: Column) -> Column:
     underscores alone stays as it is.
 
     Words are cut out of the whole text at once: two replacements mark the changes of case, one pattern takes the parts (a digit
-    only begins a word behind an underscore), so that no regex runs per word.
+    only begins a word behind an underscore), so that no regex runs per word. Underscores right behind a number are an identifier
+    of their own; only texts that have such a place take the pattern that looks back for it.
     """
     marked = F.regexp_replace(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    found = F.regexp_extract_all(marked, F.lit(r"((?<=_)[A-Za-z0-9]+|[A-Za-z][A-Za-z0-9]*|\d+|(?<![A-Za-z0-9_])__+(?![A-Za-z0-9_])|(?<=(?<![A-Za-z0-9_])\d{1,40})__+(?![A-Za-z0-9_]))"), F.lit(1))
+    words = r"(?<=_)[A-Za-z0-9]+|[A-Za-z][A-Za-z0-9]*|\d+|(?<![A-Za-z0-9_])__+(?![A-Za-z0-9_])"
+    behind = F.regexp_extract_all(marked, F.lit(rf"({words}|(?<=(?<![A-Za-z0-9_])\d{{1,1000}})__+(?![A-Za-z0-9_]))"), F.lit(1))
+    found = F.when(text.contains("__") & text.rlike(r"(?<![A-Za-z0-9_])\d+__+(?![A-Za-z0-9_])"), behind).otherwise(F.regexp_extract_all(marked, F.lit(f"({words})"), F.lit(1)))
     return F.filter(F.transform(F.filter(found, lambda w: F.length(w) >= 2), F.lower), lambda w: ~w.isin(STOP_WORDS))
 
 
