@@ -13,17 +13,20 @@ import uuid
 from dataclasses import asdict
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixed
 from .functions.text import content_hash, count_lines, module_of
 from .operators import graph, records, retrieval
+from .operators.flows import related
 from .parse.parser import exploded, parse_files
 from .sources import scan as tree
 
 VERSION = 1
-TABLES = ("files", "symbols", "imports", "calls", "routes", "todos", "edges", "module_edges", "flows", "chunks")
+#: Raised with each change of what the parser or the index gives for the same text; rows of another version are made anew.
+PARSER, INDEX = 2, 1
+TABLES = ("files", "symbols", "imports", "calls", "routes", "todos", "edges", "module_edges", "symbol_edges", "flows", "chunks", "index")
 
 class Project:
     """A source tree with its state folder (by default `.sparklode` in the tree, which ignores itself)."""
@@ -55,7 +58,7 @@ class Project:
 
     def _publish(self, run: str, summary: dict) -> None:
         staged = self._folder() / f".state-{uuid.uuid4().hex}"
-        staged.write_text(json.dumps({"version": VERSION, "run": run, "at": dt.datetime.now(dt.timezone.utc).isoformat(), "limits": asdict(self.limits), "summary": summary}, indent=2, sort_keys=True))
+        staged.write_text(json.dumps({"version": VERSION, "run": run, "parser": PARSER, "index": INDEX, "at": dt.datetime.now(dt.timezone.utc).isoformat(), "limits": asdict(self.limits), "summary": summary}, indent=2, sort_keys=True))
         os.replace(staged, self.state / "state.json")
 
     # ---- entry points
@@ -76,7 +79,8 @@ class Project:
         contents = tree.read(self.spark, self.root, listed, self.limits).select(F.col("path").alias("id"), module_of(F.col("path")).alias("moduleId"), "language", "kind", "loc", "bytes", "hash", "content")
         contents.write.parquet(f"{path}/contents")
         contents = self.spark.read.parquet(f"{path}/contents")
-        old = self.table("parsed") if reuse else None
+        state = self._version() or {}
+        old = self.table("parsed") if reuse and state.get("parser") == PARSER else None
         missed = contents
         if old is not None:
             key = ["id", "hash", "language"]
@@ -94,6 +98,8 @@ class Project:
         for name in [n for n in TABLES if n in tables]:  # what follows reads the written tables, not their plans
             keep(name, tables[name])
         keep("chunks", chunk(contents, tables["symbols"]))
+        before = self.table("index") if reuse and state.get("index") == INDEX else None
+        keep("index", retrieval.update_index(before, tables["chunks"]))
         keep("flows", flows(tables, tree.entry_points(contents.withColumnRenamed("id", "path"))))
         before = self.table("files")
         delta = {r.state: r["count"] for r in (records.diff(before, tables["files"]) if before is not None else contents.select(F.lit("added").alias("state"))).groupBy("state").count().collect()}
@@ -104,12 +110,14 @@ class Project:
     update = analyze
 
     def ask(self, question: str, limit: int = 8) -> dict:
-        chunks = self.table("chunks")
-        if chunks is None:
+        index = self.table("index")
+        if index is None:
             raise ValueError("nothing is analyzed yet")
-        from .session import stored
-
-        reply = retrieval.answer(stored(retrieval.index_chunks(chunks)), question, retrieval.Search(limit=limit))
+        reply = retrieval.answer(index, question, retrieval.Search(limit=limit))
+        if reply["citations"]:
+            hits = self.spark.createDataFrame([(c["path"], c["symbol"]) for c in reply["citations"]], "fileId string, symbolName string")
+            symbols, flows = related(hits, self.table("symbols"), self.table("flows"))
+            reply["relatedSymbols"], reply["relatedFlows"] = [r.asDict() for r in symbols.collect()], [r.asDict() for r in flows.collect()]
         with (self._folder() / "asked.jsonl").open("a") as log:
             log.write(json.dumps({"question": question, "confidence": reply["confidence"], "citations": len(reply["citations"])}) + "\n")
         return reply
@@ -128,7 +136,8 @@ class Project:
 
     def status(self) -> dict:
         held = self._version()
-        return {"root": self.root, "analyzed": held is not None} | ({"at": held["at"], **held["summary"]} if held else {})
+        index = self.table("index")
+        return ({} if index is None else {"index": retrieval.index_stats(index)}) | {"root": self.root, "analyzed": held is not None} | ({"at": held["at"], **held["summary"]} if held else {})
 
 
 def link(files: DataFrame, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -168,10 +177,14 @@ def flows(t: dict[str, DataFrame], entries: DataFrame) -> DataFrame:
     return found.select("start", "kind", "name", "confidence", F.explode("steps").alias("s")).select("start", "kind", "name", "confidence", F.col("s.order").alias("step"), "s.id", "s.depth", "s.evidence")
 
 
-def chunk(contents: DataFrame, symbols: DataFrame, header: int = 40, most: int = 4000) -> DataFrame:
-    """The chunks a search looks at: the head of each file, each symbol's lines, windows over documents and configuration."""
+def chunk(contents: DataFrame, symbols: DataFrame, header: int = 40, most: int = 4000, shared: int = 200) -> DataFrame:
+    """The chunks a search looks at: the head of each file, each symbol's lines, windows over documents and configuration.
+
+    A text above `most` characters becomes several chunks that share `shared` characters, so nothing of it is lost to a search; chunks
+    of one place and name are numbered from the second on.
+    """
     lines = F.split("content", "\n", -1)
-    cut = lambda a, b: F.substring(F.array_join(F.slice(lines, a, F.greatest(b - a + 1, F.lit(0))), "\n"), 1, most)
+    cut = lambda a, b: F.array_join(F.slice(lines, a, F.greatest(b - a + 1, F.lit(0))), "\n")
     last = F.greatest(F.lit(1), F.least(count_lines(F.col("content")), F.lit(header)))
     base = ["fileId", "moduleId", "startLine", "endLine", "symbolId", "symbolName", "symbolKind", "kind", "text"]
     none = F.lit(None).cast("string")
@@ -184,4 +197,13 @@ def chunk(contents: DataFrame, symbols: DataFrame, header: int = 40, most: int =
     for c in ("symbolId", "symbolName", "symbolKind"):
         whole = whole.withColumn(c, none)
     rows = heads.select(base).unionByName(code.select(base)).unionByName(whole.select(base))
-    return rows.withColumn("id", F.concat_ws(":", "fileId", F.col("startLine").cast("string"), F.concat("kind", F.when(F.col("symbolName").isNotNull(), F.concat(F.lit("#"), F.col("symbolName"))).otherwise("")))).dropDuplicates(["id"]).withColumn("hash", content_hash(F.col("text")))
+    size = F.length("text")
+    begins = F.when(size <= most, F.array(F.lit(1))).otherwise(F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(most - shared)), lambda a: (a == 1) | (a + shared <= size)))
+    feeds = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    parts = rows.select("*", F.posexplode(begins).alias("__part", "__at")).withColumn("__first", F.col("startLine") + feeds(F.expr("substring(text, 1, __at - 1)")))
+    parts = parts.withColumn("__text", F.when(size <= most, F.col("text")).otherwise(F.expr(f"substring(text, __at, {most})"))).withColumn("__last", F.when(size <= most, F.col("endLine")).otherwise(F.col("__first") + feeds(F.col("__text"))))
+    parts = parts.select(*[c for c in base if c not in ("startLine", "endLine", "text")], F.col("__first").cast("int").alias("startLine"), F.col("__last").cast("int").alias("endLine"), F.col("__text").alias("text"))
+    name = F.concat_ws(":", "fileId", F.col("startLine").cast("string"), F.concat("kind", F.when(F.col("symbolName").isNotNull(), F.concat(F.lit("#"), F.col("symbolName"))).otherwise("")))
+    hashed = parts.withColumn("id", name).withColumn("hash", content_hash(F.col("text")))
+    k = F.row_number().over(Window.partitionBy("id").orderBy("endLine", "symbolKind", "hash"))
+    return hashed.withColumn("__k", k).withColumn("id", F.when(F.col("__k") == 1, F.col("id")).otherwise(F.concat("id", F.lit("#"), F.col("__k").cast("string")))).drop("__k").select(*base, "id", "hash")

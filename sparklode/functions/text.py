@@ -242,14 +242,27 @@ def words_of(text: str | None) -> list[str]:
     return [w for i in _IDENTIFIERS.findall(text or "") for w in _pieces(i)[0]]
 
 
-_FEATURES = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+_TERM = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
+_FEATURES = T.StructType([T.StructField("terms", T.ArrayType(_TERM)), T.StructField("length", T.IntegerType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+
+def terms_of(text: str | None) -> tuple[list[tuple[str, int]], int]:
+    """What a search can look up in a text, with how often it is there, and the number of its words: words, single wide characters,
+    and pairs of them, counted without overlap wherever they stand."""
+    words = words_of(text)
+    counts = Counter(words)
+    for run in _WIDE.findall(text or ""):
+        for part in {*run, *(run[k : k + 2] for k in range(len(run) - 1))} - counts.keys():
+            counts[part] = text.count(part)
+    return sorted(counts.items()), len(words)
 
 
 @F.pandas_udf(_FEATURES)
 def features(texts: pd.Series) -> pd.DataFrame:
-    """words and vector of each text in one pass."""
+    """terms, length and vector of each text in one pass."""
+    held = [terms_of(t) for t in texts]
     vectors = [(np.floor(np.array(embed_text(t)) * 1e6 + 0.5) / 1e6).tolist() for t in texts]
-    return pd.DataFrame({"words": [words_of(t) for t in texts], "vector": vectors})
+    return pd.DataFrame({"terms": [[{"term": w, "tf": n} for w, n in t] for t, _ in held], "length": [n for _, n in held], "vector": vectors})
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -55,9 +55,11 @@ def configuration(files: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def related(hits: DataFrame, symbols: DataFrame, flows: DataFrame, symbol_limit: int = 8, flow_limit: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Symbols of the files that were hit, those hit themselves first, and flows with a step in them. `hits` is a result list."""
+    """Symbols of the files that were hit, those hit themselves first, and flows with a step in them. `hits` is a result list; `flows`
+    is a table of steps (start, name, evidence) or of whole flows with their steps."""
     files = hits.select("fileId").distinct()
     near = symbols.join(files, "fileId", "left_semi").join(hits.select(F.col("symbolName").alias("name"), F.lit(0).alias("__hit")).distinct(), "name", "left")
     near = near.orderBy(F.coalesce("__hit", F.lit(1)), "fileId", "line", "id").limit(symbol_limit).select("id", "name", "fileId", "line")
-    stepped = flows.select("start", "name", F.explode("steps").alias("s")).withColumn("fileId", F.regexp_extract("s.evidence", r"^(.*):\d+\z", 1))
+    steps = flows.select("start", "name", F.explode("steps").alias("s")).select("start", "name", "s.evidence") if "steps" in flows.columns else flows.select("start", "name", "evidence")
+    stepped = steps.withColumn("fileId", F.regexp_extract("evidence", r"^(.*):\d+\z", 1))
     return near, stepped.join(files, "fileId", "left_semi").select("start", "name").distinct().orderBy("start").limit(flow_limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import CJK, bm25, embed_text, feature_tokens, features, has_word, occurrences, round6, tokenize
-from .ranking import ranked, reciprocal_ranks
+from ..functions.text import CJK, WIDTH, embed_text, feature_tokens, features, has_word, occurrences, round6
+from .ranking import ranked
 
 #: Order and weight of the kinds of chunks.
 KIND_RANK = {"file-header": 0, "symbol": 1, "config": 2, "doc": 3}
@@ -43,12 +44,31 @@ def windows(rows: DataFrame, lines: Column, whole: int = 200, size: int = 80, st
     return out.withColumn("endLine", F.when(F.col("__n") <= whole, F.col("__n")).otherwise(F.least(F.col("__n"), F.col("startLine") + size - 1)).cast("int")).drop("__n")
 
 
-def index_chunks(chunks: DataFrame, vectors: bool = True) -> DataFrame:
-    """Chunks ready for search: words counted by the tokenizer of this library and, if asked for, a hashed vector. A search reads
-    the index several times, so store it first."""
-    if not vectors:
-        return chunks.withColumn("words", tokenize(F.col("text")))
-    return chunks.withColumn("__f", features(F.col("text"))).select("*", "__f.words", "__f.vector").drop("__f")
+#: What the index holds of a chunk besides its text, which only citations read.
+PLACE = ("id", "fileId", "symbolName", "startLine", "endLine", "kind")
+
+
+def index_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks ready for search: `terms` with their counts, `length` in words and a hashed `vector`. Store the result: a search reads
+    terms and vectors only, and `update_index` carries it over to the next state of the chunks."""
+    return chunks.withColumn("__f", features(F.col("text"))).select("*", "__f.*").drop("__f")
+
+
+def update_index(old: DataFrame | None, chunks: DataFrame) -> DataFrame:
+    """The index of `chunks`, where only those are worked on whose id and hash `old` does not have. Ids are unique in both; a null
+    hash is always worked on. Only ids and hashes are compared; what `chunks` no longer has is gone."""
+    if old is None:
+        return index_chunks(chunks)
+    known = old.select("id", "hash").where("hash IS NOT NULL")
+    fresh = index_chunks(chunks.join(known, ["id", "hash"], "left_anti"))
+    kept = old.join(chunks.select("id", "hash"), ["id", "hash"], "left_semi")
+    return fresh.unionByName(kept.select(fresh.columns))
+
+
+def index_stats(index: DataFrame) -> dict:
+    """chunks, files, tokens and the width of the vectors."""
+    r = index.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("fileId").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.coalesce(F.max(F.size("vector")), F.lit(WIDTH)).alias("dim")).first()
+    return r.asDict()
 
 
 def query_terms(spark, questions: Sequence[str]) -> DataFrame:
@@ -92,33 +112,34 @@ def search(index: DataFrame, questions: Sequence[str], s: Search = Search()) ->
     """qid, rank, id, fileId, symbolName, startLine, endLine and the scores bm25, vector, fused and rerank of the best hits.
 
     Ranks are exact over all chunks: both lists are range-partitioned, no task holds one list. What is done a question is done for
-    all questions together. Ties go by file, line, kind and id. No questions, questions without terms and an empty index give no hits.
+    all questions together; every chunk's scores come from its own row of the index, without its text. Ties go by file, line, kind and id. No questions, questions without terms and an empty index give no hits.
     """
     spark = index.sparkSession
     queries = [r for r in query_terms(spark, [q.strip() for q in questions]).collect() if r.terms]
     schema = "qid int, rank int, id string, fileId string, symbolName string, startLine int, endLine int, bm25 double, vector double, fused double, rerank double"
     if not queries:
         return spark.createDataFrame([], schema)
-    size = index.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avg")).first()
+    size = index.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
     if not size.n:
         return spark.createDataFrame([], schema)
-    pairs = spark.createDataFrame([(q.qid, t) for q in queries for t in q.terms], "qid int, term string")
-    held = postings(index, sorted({t for q in queries for t in q.terms}))
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    classes = classify_terms(pairs.join(df, "term", "left"), size.n, s)
+    asked = sorted({t for q in queries for t in q.terms})
+    matched = index.select(*PLACE, "length", "vector", F.filter("terms", lambda t: t["term"].isin(asked)).alias("terms"))
+    # one number a term of the questions reaches the driver; what a chunk scores follows from its own row, so no posting is shuffled
+    df = dict(matched.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect())
+    pairs = spark.createDataFrame([(q.qid, t, df.get(t)) for q in queries for t in q.terms], "qid int, term string, df bigint")
+    classes = {(r.qid, r.term): r for r in classify_terms(pairs, size.n, s).collect()}
+    worth = [{t: (c.weight * _idf(c.df, size.n), c["class"] == "strong") for t in q.terms if (c := classes[q.qid, t]).df} for q in queries]
+    scores = _scores([embed_text(q.question) for q in queries], worth, float(size.avg or 1) or 1.0, s)
     tie = F.struct("fileId", "startLine", F.coalesce(F.create_map(*[F.lit(x) for kv in KIND_RANK.items() for x in kv])[F.col("kind")], F.lit(9)).alias("k"), "id").alias("tie")
-    base = index.select("id", "fileId", "symbolName", "startLine", "endLine", "kind", F.size("words").alias("len"), "vector", tie)
-    scored = held.join(classes, "term").join(base.select("id", "len"), "id")
-    score = F.col("weight") * bm25(F.col("tf"), F.col("df"), F.lit(float(size.n)), F.col("len"), F.lit(float(size.avg or 1) or 1.0), s.k1, s.b)
-    lexical = scored.groupBy("qid", "id").agg(F.sum(score).alias("bm25"), F.sum((F.col("class") == "strong").cast("int")).alias("strong"))
-    lexical = lexical.withColumn("bm25", F.round("bm25", 9)).join(base.select("id", "tie"), "id")
-    asked = _similarities([embed_text(q.question) for q in queries])
-    near = base.select("id", "tie", F.posexplode(asked(F.col("vector"))).alias("p", "vector")).where("vector > 0")
-    near = near.join(F.broadcast(spark.createDataFrame([(p, q.qid) for p, q in enumerate(queries)], "p int, qid int")), "p").drop("p")
-    by_words = ranked(lexical.where("bm25 > 0"), "qid", [F.desc("bm25"), F.col("tie")])
-    by_vector = ranked(near, "qid", [F.desc("vector"), F.col("tie")])
-    fused = reciprocal_ranks([by_words, by_vector], "qid", "id", s.rrf)
-    all_of = fused.join(lexical.drop("tie"), ["qid", "id"], "left").join(near.drop("tie"), ["qid", "id"], "left").join(base.drop("vector"), "id")
+    told = matched.select(*PLACE, tie, F.posexplode(scores("terms", "length", "vector")).alias("p", "s")).where("s.bm25 > 0 OR s.vector > 0")
+    ids = F.broadcast(spark.createDataFrame([(p, q.qid) for p, q in enumerate(queries)], "p int, qid int"))
+    told = told.join(ids, "p").select("qid", *PLACE, "tie", "s.*")
+    # both lists of every question are ranked together: list 2 q is by words, 2 q + 1 by vectors
+    lists = F.explode(F.array(F.struct((F.col("qid") * 2).alias("list"), F.col("bm25").alias("v")), F.struct((F.col("qid") * 2 + 1).alias("list"), F.col("vector").alias("v"))))
+    places = ranked(told.select("*", lists.alias("l")).select("*", "l.*").drop("l").where("v > 0"), "list", [F.desc("v"), F.col("tie")])
+    held = F.struct(*[c for c in PLACE if c != "id"], "tie", "bm25", "strong", "vector")
+    fused = places.groupBy("qid", "id").agg(F.sum(1.0 / (F.lit(s.rrf) + F.col("rank"))).alias("fused"), F.first(held).alias("__c"))
+    all_of = fused.select("qid", "id", "fused", "__c.*")
     lookup = spark.createDataFrame([(q.qid, q.question.lower(), list(q.terms)) for q in queries], "qid int, __asked string, __terms array<string>")
     all_of = all_of.join(F.broadcast(lookup), "qid").withColumn("__base", (F.col("fused") + F.least(F.coalesce("strong", F.lit(0)), F.lit(s.bonus_terms)) * s.bonus) * multiplier())
     place = F.row_number().over(Window.partitionBy("qid", "fileId").orderBy(F.desc("__base"), "tie"))
@@ -130,17 +151,32 @@ def search(index: DataFrame, questions: Sequence[str], s: Search = Search()) ->
         *[round6(F.coalesce(c, F.lit(0.0))).alias(n) for c, n in (("bm25", "bm25"), ("vector", "vector"), ("fused", "fused"), ("__adjusted", "rerank"))])
 
 
-def _similarities(vectors: list[list[float]]):
-    """A function of a vector column: its cosine with each of the given unit vectors, one matrix product a batch."""
-    matrix = np.array(vectors)
+def _idf(df: int, total: int) -> float:
+    return math.log(1 + (total - df + 0.5) / (df + 0.5))
+
+
+def _scores(vectors: list[list[float]], worth: list[dict[str, tuple[float, bool]]], average: float, s: Search):
+    """A function of the columns terms, length and vector: of each question the BM25 sum, the strong terms met and the cosine."""
+    matrix = np.array(vectors).T
+    kind = T.StructType([T.StructField("bm25", T.DoubleType()), T.StructField("strong", T.IntegerType()), T.StructField("vector", T.DoubleType())])
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def similar(column: pd.Series) -> pd.Series:
-        rows = np.stack([np.zeros(matrix.shape[1]) if v is None else np.asarray(v, float) for v in column]) if len(column) else np.zeros((0, matrix.shape[1]))
+    @F.pandas_udf(T.ArrayType(kind))
+    def scores(terms: pd.Series, lengths: pd.Series, column: pd.Series) -> pd.Series:
+        rows = np.stack([np.zeros(len(matrix)) if v is None else np.asarray(v, float) for v in column]) if len(column) else np.zeros((0, len(matrix)))
         norm = np.linalg.norm(rows, axis=1, keepdims=True)
-        return pd.Series(list(np.round(np.clip(np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0) @ matrix.T, -1, 1), 9)))
+        near = np.round(np.clip(np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0) @ matrix, -1, 1), 9)
+        out = []
+        for held, n, cosines in zip(terms, lengths, near.tolist()):
+            tfs = {t["term"]: t["tf"] for t in held} if held is not None else {}
+            norm_of = s.k1 * (1 - s.b + s.b * (n or 0) / average)
+            row = []
+            for known, c in zip(worth, cosines):
+                met = [(known[t], tf) for t, tf in tfs.items() if t in known] if tfs else []
+                row.append({"bm25": round(sum(w * tf * (s.k1 + 1) / (tf + norm_of) for (w, _), tf in met), 9), "strong": sum(strong for (_, strong), _ in met), "vector": c})
+            out.append(row)
+        return pd.Series(out, dtype=object)
 
-    return similar
+    return scores
 
 
 def multiplier() -> Column:
@@ -160,12 +196,13 @@ def answer(index: DataFrame, question: str, s: Search = Search()) -> dict:
     reply = {"question": question, "answer": "", "citations": [], "confidence": "low", "mode": "extractive", "notes": []}
     if not hits:
         return reply | {"answer": "No evidence in the index.", "notes": ["no chunk was hit"]}
-    terms = query_terms(index.sparkSession, [question.strip()]).first().terms
-    total = index.count()
-    pairs = index.sparkSession.createDataFrame([(0, t) for t in terms], "qid int, term string")
-    classes = classify_terms(pairs.join(postings(index, terms).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left"), total, s).collect()
-    texts = {r.id: r for r in index.where(F.col("id").isin([h["id"] for h in hits])).select("id", "words", "text").collect()}
-    found = lambda t: any(t in (r.text or "").lower() if _is_wide(t) else t in r.words for r in texts.values())
+    terms = list(query_terms(index.sparkSession, [question.strip()]).first().terms)
+    held = F.explode(F.filter("terms", lambda t: t["term"].isin(terms))).alias("t")
+    total, known = index.count(), dict(index.select(held).groupBy("t.term").agg(F.count(F.lit(1)).alias("df")).collect())
+    pairs = index.sparkSession.createDataFrame([(0, t, known.get(t)) for t in terms], "qid int, term string, df bigint")
+    classes = classify_terms(pairs, total, s).collect()
+    texts = {r.id: r for r in index.where(F.col("id").isin([h["id"] for h in hits])).select("id", F.col("terms.term").alias("words"), "text").collect()}
+    found = lambda t: any(t in (r.words or ()) for r in texts.values())
     strong = [c.term for c in classes if c["class"] == "strong" and found(c.term)]
     weak = [c.term for c in classes if c["class"] == "weak" and found(c.term)]
     import re

@@ -68,3 +68,44 @@ def test_errors(spark, tmp_path):
     assert not empty.status()["analyzed"]
     with pytest.raises(ValueError):
         empty.ask("x")
+
+
+def test_the_index_is_kept(spark, root):
+    long = "export function big() {\n" + "".join(f"  step{k}();\n" for k in range(900)) + "  zebraCrossing();\n}\nexport function big2() { return 1 }\n"
+    (root / "src/big.js").write_text(long)
+    project = Project(spark, str(root))
+    project.analyze()
+    chunks = project.table("chunks")
+    assert chunks.count() == chunks.select("id").distinct().count() and chunks.selectExpr("max(length(text)) AS n").first().n <= 4000
+    parts = [r for r in chunks.where("symbolName = 'big'").orderBy("startLine").collect()]
+    assert len(parts) > 2 and parts[0].startLine == 1 and parts[-1].endLine == 903 and all(b.startLine <= a.endLine for a, b in zip(parts, parts[1:]))
+    assert project.ask("where is zebraCrossing")["citations"][0]["path"] == "src/big.js"
+    reply = project.ask("where is login")
+    assert any(s["name"] == "login" for s in reply["relatedSymbols"]) and "src/server.js#handleLogin@6" in {f["start"] for f in reply["relatedFlows"]}
+    stats = project.status()["index"]
+    assert stats["chunks"] == chunks.count() and stats["files"] == 6 and stats["dim"] == 256 and stats["tokens"] > 900
+    assert project.table("symbol_edges").where("`from` LIKE '%handleLogin%'").first()["to"] == "src/auth.js#login@4"
+
+    from sparklode.operators import retrieval
+
+    worked = []
+    features, retrieval.index_chunks = retrieval.index_chunks, lambda c, f=retrieval.index_chunks: worked.append(c.count()) or f(c)
+    try:
+        project.update()
+        (root / "src/auth.js").write_text("export function login() { return 2 }\n")
+        project.update()
+    finally:
+        retrieval.index_chunks = features
+    assert worked == [0, 2]
+    index = {r.id: r for r in project.table("index").collect()}
+    fresh = {r.id: r for r in retrieval.index_chunks(project.table("chunks")).collect()}
+    assert index.keys() == fresh.keys() and all(index[i].asDict(True) == fresh[i].asDict(True) for i in fresh)
+
+
+def test_another_parser_parses_again(spark, root, monkeypatch):
+    import sparklode.api as api
+
+    project = Project(spark, str(root))
+    assert project.analyze()["parsed"] == 5 and project.update()["parsed"] == 0
+    monkeypatch.setattr(api, "PARSER", api.PARSER + 1)
+    assert project.update()["parsed"] == 5
