@@ -42,18 +42,19 @@ def reachable(starts: DataFrame, edges: DataFrame, most: int = 1000) -> DataFram
     """id and depth of everything the starts lead to, themselves included at depth 0.
 
     Level by level: the frontier joins the edges, what was seen is taken out, and each level is written to the shared checkpoint
-    folder, as the edges are once. A cycle ends by itself.
+    folder, as the edges are once; what was seen is the levels read together, so nothing is written twice. A cycle ends by itself.
     """
     out = stored(edges.select(F.col("from").alias("__from"), F.col("to").alias("id")).distinct())
-    seen = cut(starts.select("id").where("id IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
-    while depth < most:
-        depth += 1
-        found = frontier.select(F.col("id").alias("__from")).join(out, "__from").select("id").distinct()
-        fresh = cut(found.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+    level = stored(starts.select("id").where("id IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    paths = list(level.inputFiles())
+    read = lambda: starts.sparkSession.read.schema(level.schema).parquet(*paths) if paths else level
+    for depth in range(1, most + 1):
+        found = level.select(F.col("id").alias("__from")).join(out, "__from").select("id").distinct()
+        fresh = stored(found.join(read().select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
-            return seen
-        seen, frontier = cut(seen.unionByName(fresh)), fresh
+            return read()
+        paths += fresh.inputFiles()
+        level = fresh
     raise RuntimeError(f"deeper than {most} levels")
 
 

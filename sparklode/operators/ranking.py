@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -45,44 +46,43 @@ def reciprocal_ranks(lists: Sequence[DataFrame], group: str, key: str, k: int =
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 512) -> DataFrame:
     """query, key, similarity and rank of the k rows with the highest cosine to each query, the query's own row left out; ties by key.
 
-    Exact: every row meets every query, in blocks of `block` queries against batches of rows as matrix products. Each task keeps
-    k rows a query and batch, so what is shuffled does not grow with the pairs. Null vectors and vectors of another length than a
+    Exact: every row meets every query, in blocks of `block` queries against batches of rows as matrix products, one block after the
+    other in a task. Each task keeps k rows a query and batch, so what is shuffled does not grow with the pairs. Null vectors and vectors of another length than a
     query's have no similarity; zero vectors have similarity 0. An empty table on either side gives an empty result.
     """
     kind = rows.schema[key].dataType.simpleString()
     numbered = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = numbered.groupBy(F.pmod(F.xxhash64("query"), F.lit(max(1, -(-numbered.count() // block)))).alias("block")).agg(F.collect_list(F.struct("query", "v")).alias("members"))
-    held = blocks.collect() if blocks.count() <= 64 else None  # 64 blocks are a bounded broadcast; more go one at a time
-    if held is None:
-        parts = [nearest(rows, queries.join(blocks.where(F.col("block") == b.block).select(F.explode("members.query").alias(key)), key), key, vector, k, block) for b in blocks.select("block").toLocalIterator()]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-    ids = [m.query for b in held for m in b.members]
-    vectors = [list(m.v) for b in held for m in b.members]
+    several = -(-numbered.count() // (64 * block))  # 64 blocks are broadcast at once: a bounded matrix
+    if several > 1:
+        group = F.pmod(F.xxhash64(key), F.lit(several))
+        parts = [nearest(rows, queries.where(group == g), key, vector, k, block) for g in range(several)]
+        return functools.reduce(DataFrame.unionByName, parts)
+    asked = numbered.toArrow()
+    lists = asked.column(1).combine_chunks()
+    widths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    matrices = []
+    for w in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == w)
+        matrices.append((w, asked.column(0).take(pa.array(at)).combine_chunks(), _unit(lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), w))))
+    shared = rows.sparkSession.sparkContext.broadcast(matrices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_width: dict[int, list[int]] = {}
-        for n, v in enumerate(vectors):
-            by_width.setdefault(len(v), []).append(n)
-        matrices = {w: (np.array(ns), _unit(np.array([vectors[n] for n in ns], float).reshape(len(ns), w))) for w, ns in by_width.items()}
         for batch in batches:
             lists = batch.column(1)
             widths = lists.value_lengths().to_numpy(zero_copy_only=False)
-            for w, (ns, matrix) in matrices.items():
+            for w, ids, matrix in shared.value:
                 at = np.flatnonzero(widths == w)
                 if not len(at):
                     continue
-                block_of = _unit(np.array([lists[int(a)].as_py() for a in at], float).reshape(len(at), w))
-                score = np.clip(matrix @ np.nan_to_num(block_of).T, -1, 1)
+                held = _unit(np.nan_to_num(lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(len(at), w))
                 take = min(k + 1, len(at))
-                best = np.argpartition(-score, take - 1, axis=1)[:, :take]
-                # rows tied with the last one taken are kept, so that the key can decide
-                floor = np.take_along_axis(score, best, 1).min(1)
-                q, r = np.nonzero(score >= floor[:, None])
-                kind_of = batch.column(0).type
-                yield pa.RecordBatch.from_arrays([pa.array([ids[ns[a]] for a in q], kind_of), batch.column(0).take(pa.array(at[r])), pa.array(score[q, r])], ["query", "key", "similarity"])
+                for a in range(0, len(matrix), block):
+                    score = np.clip(matrix[a : a + block] @ held.T, -1, 1)
+                    best = np.argpartition(-score, take - 1, axis=1)[:, :take]
+                    # rows tied with the last one taken are kept, so that the key can decide
+                    floor = np.take_along_axis(score, best, 1).min(1)
+                    q, r = np.nonzero(score >= floor[:, None])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + q)), batch.column(0).take(pa.array(at[r])), pa.array(score[q, r])], ["query", "key", "similarity"])
 
     found = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>")).mapInArrow(run, f"query {kind}, key {kind}, similarity double")
     return top(found.where("query != key").withColumn("similarity", F.round("similarity", 6)), "query", [F.desc("similarity"), F.col("key")], k)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +31,19 @@ def module_rollup(files: DataFrame) -> DataFrame:
     return sums.join(mode_or_mixed(files, "moduleId", "kind", ("test", "generated")), "moduleId", "left")
 
 
+def _importable(files: DataFrame) -> DataFrame:
+    """base, k and target: the names each file (path, target) can be imported by, with the place of that form in the order of trials:
+    0 as written, then without its ending, then as a folder that holds a stem with an ending."""
+    endings = "|".join(e[1:] for e in ENDINGS)
+    place = lambda names, c: F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)])[c]
+    part = lambda pattern, k: F.nullif(F.regexp_extract("path", pattern, k), F.lit(""))
+    plain, folder = rf"\A(.+)(\.(?:{endings}))\z", rf"\A(.+)/({'|'.join(STEMS)})(\.(?:{endings}))\z"
+    bare = F.when(part(plain, 1).isNotNull(), F.struct(part(plain, 1).alias("base"), (1 + place(ENDINGS, part(plain, 2))).alias("k")))
+    held = F.when(part(folder, 1).isNotNull(), F.struct(part(folder, 1).alias("base"), (1 + len(ENDINGS) * (1 + place(STEMS, part(folder, 2))) + place(ENDINGS, part(folder, 3))).alias("k")))
+    names = F.array_compact(F.array(F.struct(F.col("path").alias("base"), F.lit(0).alias("k")), bare, held))
+    return files.select(F.explode(names).alias("n"), "target").select("n.base", "n.k", "target")
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """id, target, external and package of each import.
 
@@ -47,12 +59,11 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     stack = F.aggregate(
         F.split(raw, "/"), F.array().cast("array<string>"),
         lambda acc, p: F.when(p.isin("", "."), acc).when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
-    base = F.array_join(stack, "/")
-    tries = [F.struct(F.lit(k).alias("k"), F.concat(base, F.lit(end)).alias("path")) for k, end in enumerate(["", *ENDINGS, *[f"/{s}{e}" for s in STEMS for e in ENDINGS]])]
-    paths = imports.where(relative | rooted).select("id", F.explode(F.array(*tries)).alias("t")).select("id", "t.*")
-    exact = files.select(F.col("id").alias("path"), F.col("id").alias("target"), F.lit(0).alias("loose"))
-    lower = files.groupBy(F.lower("id").alias("path")).agg(F.min("id").alias("target")).withColumn("loose", F.lit(1))
-    hit = paths.join(exact, "path").unionByName(paths.withColumn("path", F.lower("path")).join(lower, "path")).groupBy("id").agg(F.min_by("target", F.struct("k", "loose")).alias("__path"))
+    wanted = imports.where(relative | rooted).select("id", F.array_join(stack, "/").alias("base"))
+    exact = _importable(files.select(F.col("id").alias("path"), F.col("id").alias("target"))).withColumn("loose", F.lit(0))
+    lower = _importable(files.groupBy(F.lower("id").alias("path")).agg(F.min("id").alias("target"))).withColumn("loose", F.lit(1))
+    both = wanted.join(exact, "base").unionByName(wanted.withColumn("base", F.lower("base")).join(lower, "base"))
+    hit = both.groupBy("id").agg(F.min_by("target", F.struct("k", "loose")).alias("__path"))
     dotted = imports.where(~relative & ~rooted & spec.rlike(r"^[A-Za-z_][\w]*(?:\.\w+)+\z")).select("id", F.replace(spec, F.lit("."), F.lit("/")).alias("path"))
     stemmed = files.where(F.col("id").rlike(r"\.(?:java|kt|kts|scala|py)\z")).select("id", F.split(F.regexp_replace("id", r"\.\w+\z", ""), "/").alias("p"))
     suffixes = stemmed.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.array_join(F.slice("p", k, F.size("p") - k + 1), "/"))).alias("path"))
@@ -160,24 +171,49 @@ def prefix_budget(rows: DataFrame, size: str, most: int, order: Sequence[Column]
 
 def greedy_budget(rows: DataFrame, key: str, size: str, most: int) -> DataFrame:
     """key of the rows that a first-fit pass in the order of size, largest first, then key, takes into `most`: one that doesn't fit
-    is left out, smaller ones after it may still fit.
+    is left out, smaller ones after it may still fit. Null and negative sizes are never taken.
 
-    Taken sizes only shrink the room, so rows above the whole budget never matter, and once the rest fits altogether it is taken.
-    The pass itself is sequential; it sees runs of equal size as one number each, so the driver holds distinct sizes, not rows.
+    The pass goes in stretches: from the largest size that fits, everything is taken until a row does not fit. What room is left
+    then is less than half of what there was, so there are at most log2(most) stretches; each is a sum by range partition and a
+    running sum within the one partition where it ends. The driver holds a row a partition and a row a stretch.
     """
+    from ..session import stored
+
     fits = rows.where(F.coalesce(F.col(size) <= most, F.lit(False)) & (F.col(size) >= 0))
-    runs = fits.groupBy(size).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(size))
-    room, taken = most, []
-    for r in runs.toLocalIterator():
-        count = r.n if r[size] == 0 else min(r.n, room // r[size])
-        room -= count * r[size]
-        if count:
-            taken.append((r[size], count))
-    if not taken:
-        return fits.limit(0).select(key)
-    allowed = rows.sparkSession.createDataFrame(pd.DataFrame(taken, columns=["__size", "__n"]).astype({"__size": "int64", "__n": "int64"}))
-    ranked = fits.join(allowed, fits[size] == allowed["__size"]).withColumn("__k", F.row_number().over(Window.partitionBy("__size").orderBy(key)))
-    return ranked.where(F.col("__k") <= F.col("__n")).select(key)
+    runs = fits.groupBy(F.col(size).cast("bigint").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    runs = stored(runs.repartitionByRange(F.desc("s")).withColumn("part", F.spark_partition_id()))
+    room, cap, whole, partial = most, most, [], []
+    while cap >= 0:
+        left = runs.where(F.col("s") <= cap)
+        sums = left.groupBy("part").agg(F.sum(F.col("s") * F.col("n")).alias("sum")).orderBy("part").collect()
+        before, ends = 0, None
+        for p in sums:
+            if before + p["sum"] > room:
+                ends = p["part"]
+                break
+            before += p["sum"]
+        if ends is None:
+            whole.append((0, cap))
+            break
+        down = Window.partitionBy("part").orderBy(F.desc("s"))
+        running = left.where(F.col("part") == ends).withColumn("upto", F.lit(before) + F.sum(F.col("s") * F.col("n")).over(down))
+        stop = running.where(F.col("upto") > room).orderBy(F.desc("s")).first()
+        free = room - (stop.upto - stop.s * stop.n)
+        taken = free // stop.s
+        whole.append((stop.s + 1, cap))
+        partial += [(stop.s, int(taken))] if taken else []
+        room = int(free - taken * stop.s)
+        cap = min(room, stop.s - 1)
+    s = F.col(size).cast("bigint")
+    inside = F.lit(False)
+    for low, high in whole:
+        inside = inside | s.between(low, high)
+    out = fits.where(inside).select(key)
+    if not partial:
+        return out
+    allowed = F.broadcast(rows.sparkSession.createDataFrame(partial, "__size bigint, __n bigint"))  # a row a stretch
+    some = fits.join(allowed, s == F.col("__size")).withColumn("__k", F.row_number().over(Window.partitionBy("__size").orderBy(key)))
+    return out.unionByName(some.where(F.col("__k") <= F.col("__n")).select(key))
 
 
 def even_sample(rows: DataFrame, group: str, order: Sequence[Column], most: int) -> DataFrame:

@@ -108,32 +108,39 @@ def _is_wide(term: str) -> bool:
     return bool(re.match(CJK, term))
 
 
-def search(index: DataFrame, questions: Sequence[str], s: Search = Search()) -> DataFrame:
-    """qid, rank, id, fileId, symbolName, startLine, endLine and the scores bm25, vector, fused and rerank of the best hits.
-
-    Ranks are exact over all chunks: both lists are range-partitioned, no task holds one list. What is done a question is done for
-    all questions together; every chunk's scores come from its own row of the index, without its text. Ties go by file, line, kind and id. No questions, questions without terms and an empty index give no hits.
-    """
+def scores(index: DataFrame, queries: Sequence, s: Search = Search()) -> DataFrame | None:
+    """qid, what PLACE names, tie, bm25, strong (how many telling terms) and vector of every chunk that one of the questions (rows of
+    `query_terms`) meets by words or by vector; None for an empty index. No posting and no text is read or shuffled."""
     spark = index.sparkSession
-    queries = [r for r in query_terms(spark, [q.strip() for q in questions]).collect() if r.terms]
-    schema = "qid int, rank int, id string, fileId string, symbolName string, startLine int, endLine int, bm25 double, vector double, fused double, rerank double"
-    if not queries:
-        return spark.createDataFrame([], schema)
     size = index.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
     if not size.n:
-        return spark.createDataFrame([], schema)
+        return None
     asked = sorted({t for q in queries for t in q.terms})
     matched = index.select(*PLACE, "length", "vector", F.filter("terms", lambda t: t["term"].isin(asked)).alias("terms"))
-    # one number a term of the questions reaches the driver; what a chunk scores follows from its own row, so no posting is shuffled
+    # one number a term of the questions reaches the driver; what a chunk scores follows from its own row
     df = dict(matched.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect())
     pairs = spark.createDataFrame([(q.qid, t, df.get(t)) for q in queries for t in q.terms], "qid int, term string, df bigint")
     classes = {(r.qid, r.term): r for r in classify_terms(pairs, size.n, s).collect()}
     worth = [{t: (c.weight * _idf(c.df, size.n), c["class"] == "strong") for t in q.terms if (c := classes[q.qid, t]).df} for q in queries]
-    scores = _scores([embed_text(q.question) for q in queries], worth, float(size.avg or 1) or 1.0, s)
+    told = _scores([embed_text(q.question) for q in queries], worth, float(size.avg or 1) or 1.0, s)
     tie = F.struct("fileId", "startLine", F.coalesce(F.create_map(*[F.lit(x) for kv in KIND_RANK.items() for x in kv])[F.col("kind")], F.lit(9)).alias("k"), "id").alias("tie")
-    told = matched.select(*PLACE, tie, F.posexplode(scores("terms", "length", "vector")).alias("p", "s")).where("s.bm25 > 0 OR s.vector > 0")
+    rows = matched.select(*PLACE, tie, F.posexplode(told("terms", "length", "vector")).alias("p", "s")).where("s.bm25 > 0 OR s.vector > 0")
     ids = F.broadcast(spark.createDataFrame([(p, q.qid) for p, q in enumerate(queries)], "p int, qid int"))
-    told = told.join(ids, "p").select("qid", *PLACE, "tie", "s.*")
+    return rows.join(ids, "p").select("qid", *PLACE, "tie", "s.*")
+
+
+def search(index: DataFrame, questions: Sequence[str], s: Search = Search()) -> DataFrame:
+    """qid, rank, id, fileId, symbolName, startLine, endLine and the scores bm25, vector, fused and rerank of the best hits.
+
+    Ranks are exact over all chunks: both lists are range-partitioned, no task holds one list. What is done a question is done for
+    all questions together. Ties go by file, line, kind and id. No questions, questions without terms and an empty index give no hits.
+    """
+    spark = index.sparkSession
+    queries = [r for r in query_terms(spark, [q.strip() for q in questions]).collect() if r.terms]
+    schema = "qid int, rank int, id string, fileId string, symbolName string, startLine int, endLine int, bm25 double, vector double, fused double, rerank double"
+    told = scores(index, queries, s) if queries else None
+    if told is None:
+        return spark.createDataFrame([], schema)
     # both lists of every question are ranked together: list 2 q is by words, 2 q + 1 by vectors
     lists = F.explode(F.array(F.struct((F.col("qid") * 2).alias("list"), F.col("bm25").alias("v")), F.struct((F.col("qid") * 2 + 1).alias("list"), F.col("vector").alias("v"))))
     places = ranked(told.select("*", lists.alias("l")).select("*", "l.*").drop("l").where("v > 0"), "list", [F.desc("v"), F.col("tie")])

@@ -230,7 +230,22 @@ def bound_names(spark, folder):
     return R.bind_names(imports(spark, folder), symbols(spark, folder))
 
 
-@query()
+_ENDS = "['.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '.mts', '.cts', '.py', '.java', '.go', '.rs', '.rb', '.php', '.kt', '.kts', '.scala', '.swift', '.cs', '.vue', '.svelte']"
+
+
+@query(f"""WITH {FILES}, {IMPORTS}, x AS (SELECT id, trim(specifier) AS spec, CASE WHEN contains(fileId, '/') THEN regexp_replace(fileId, '/[^/]*$', '') ELSE '' END AS dir FROM i),
+forms AS (SELECT 0 AS k, '' AS tail UNION ALL SELECT k, e FROM (SELECT unnest({_ENDS}) AS e, unnest(range(1, 22)) AS k) UNION ALL SELECT 22 + 21 * p + k, '/' || stem || e FROM (SELECT unnest(['index', '__init__', 'mod', 'main']) AS stem, unnest(range(0, 4)) AS p), (SELECT unnest({_ENDS}) AS e, unnest(range(0, 21)) AS k)),
+steps AS (SELECT id, spec, list_filter(string_split(CASE WHEN starts_with(spec, '/') THEN substr(spec, 2) ELSE dir || '/' || spec END, '/'), lambda p: p NOT IN ('', '.')) AS parts FROM x WHERE starts_with(spec, '.') OR starts_with(spec, '/')),
+bases AS (SELECT id, array_to_string(list_reduce(list_transform(parts, lambda p: [p]), lambda acc, p: CASE WHEN p[1] = '..' THEN acc[:-2] ELSE list_concat(acc, p) END, []::VARCHAR[]), '/') AS base FROM steps),
+tries AS (SELECT id, k, base || tail AS path FROM bases, forms),
+hits AS (SELECT t.id, t.k, 0 AS loose, f.id AS target FROM tries t JOIN f ON t.path = f.id UNION ALL SELECT t.id, t.k, 1, l.target FROM tries t JOIN (SELECT lower(id) AS low, min(id) AS target FROM f GROUP BY 1) l ON lower(t.path) = l.low),
+hit AS (SELECT id, arg_min(target, k * 2 + loose) AS target FROM hits GROUP BY id),
+code AS (SELECT id, string_split(regexp_replace(id, '[.][A-Za-z]+$', ''), '/') AS p FROM f WHERE id LIKE '%.java' OR id LIKE '%.kt' OR id LIKE '%.kts' OR id LIKE '%.scala' OR id LIKE '%.py'),
+tails AS (SELECT array_to_string(list_slice(p, k, len(p)), '/') AS tail, id FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS k FROM code)), one AS (SELECT tail, min(id) AS target FROM tails GROUP BY tail HAVING count(*) = 1),
+dotted AS (SELECT x.id, one.target FROM x JOIN one ON replace(x.spec, '.', '/') = one.tail WHERE regexp_matches(x.spec, '^[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z0-9_]+)+$')),
+r AS (SELECT x.id, x.spec, coalesce(hit.target, dotted.target) AS target FROM x LEFT JOIN hit USING (id) LEFT JOIN dotted USING (id)),
+o AS (SELECT *, target IS NULL AND NOT starts_with(spec, '.') AND NOT starts_with(spec, '/') AS ext FROM r)
+SELECT id, target, coalesce(ext, false) AS external, CASE WHEN ext THEN nullif(CASE WHEN starts_with(spec, '@') THEN CASE WHEN contains(spec, '/') THEN array_to_string(string_split(spec, '/')[:2], '/') ELSE spec END ELSE split_part(split_part(spec, '/', 1), '.', 1) END, '') END AS package FROM o""")
 def resolved_imports(spark, folder):
     return R.resolve_imports(imports(spark, folder), files(spark, folder))
 
@@ -240,7 +255,8 @@ def prefix_budget(spark, folder):
     return R.prefix_budget(files(spark, folder), "bytes", 500_000, [F.desc_nulls_last("bytes"), F.col("id")]).select("id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FILES}, o AS (SELECT id, bytes, row_number() OVER (ORDER BY bytes DESC, id) AS k FROM f WHERE bytes BETWEEN 0 AND 500000),
+g AS (SELECT 0::BIGINT AS k, 500000::BIGINT AS room, NULL::VARCHAR AS id UNION ALL SELECT o.k, CASE WHEN o.bytes <= g.room THEN g.room - o.bytes ELSE g.room END, CASE WHEN o.bytes <= g.room THEN o.id END FROM g JOIN o ON o.k = g.k + 1) SELECT id FROM g WHERE id IS NOT NULL""")
 def greedy_budget(spark, folder):
     return R.greedy_budget(files(spark, folder), "id", "bytes", 500_000)
 
@@ -296,7 +312,18 @@ def module_cycles(spark, folder):
     return G.components(module_edges(spark, folder))
 
 
-@query()
+def _walk_sql(depth: int = 5, steps: int = 24) -> str:
+    """Breadth-first walks level by level: what a level finds first, by the step of its parent, then the line and id of the import."""
+    parts = [IMPORTS, "e AS (SELECT fileId AS a, target AS b, min((line, id)) AS rank FROM i WHERE target IS NOT NULL AND target <> fileId GROUP BY 1, 2)", "l0 AS (SELECT DISTINCT a AS start, a AS id, 1::BIGINT AS step, 0 AS depth FROM e WHERE a NOT IN (SELECT b FROM e))", "s0 AS (SELECT * FROM l0)"]
+    for d in range(1, depth + 1):
+        parts.append(f"f{d} AS (SELECT start, e.b AS id, min((step, rank, e.b)) AS o FROM l{d - 1} JOIN e ON e.a = l{d - 1}.id GROUP BY ALL)")
+        parts.append(f"n{d} AS (SELECT f.start, f.id, row_number() OVER (PARTITION BY f.start ORDER BY f.o) AS k FROM f{d} f ANTI JOIN s{d - 1} s ON f.start = s.start AND f.id = s.id)")
+        parts.append(f"l{d} AS (SELECT n.start, n.id, n.k + m.last AS step, {d} AS depth FROM n{d} n JOIN (SELECT start, max(step) AS last FROM s{d - 1} GROUP BY 1) m USING (start) WHERE n.k + m.last <= {steps})")
+        parts.append(f"s{d} AS (SELECT * FROM s{d - 1} UNION ALL SELECT * FROM l{d})")
+    return f"WITH {', '.join(parts)} SELECT start, step::INT AS step, id, depth::INT AS depth FROM s{depth}"
+
+
+@query(_walk_sql())
 def import_walks(spark, folder):
     """From every file that nothing imports, what its imports lead to, breadth first."""
     edges = imports(spark, folder).where("target IS NOT NULL AND target != fileId").groupBy(F.col("fileId").alias("from"), F.col("target").alias("to")).agg(F.min(F.struct("line", "id")).alias("rank"))
@@ -380,6 +407,21 @@ def todo_lines(spark, folder):
 QUESTIONS = ["how does serializeToken work", "where is the turbine throttled when the grid is congested", "付款与发票", "which file handles appeal deadline", "quux zzyzzx"]
 
 
+_CHUNK_WORDS = f"{CHUNKS}, {_WORDS.format('c')}"
+_LOOKED_UP = ", ".join(f"({q}, '{t}')" for q, ts in ((0, ("how", "does", "serialize", "token", "work")), (1, ("is", "turbine", "throttled", "grid", "congested")), (2, ("which", "file", "handles", "appeal", "deadline"))) for t in ts)
+
+
+@query(f"""WITH {_CHUNK_WORDS}, q AS (SELECT * FROM (VALUES {_LOOKED_UP}) t(qid, term)), len AS (SELECT id, count(*) AS len FROM k GROUP BY id), st AS (SELECT (SELECT count(*) FROM c) AS total, (SELECT count(*) FROM k)::DOUBLE / (SELECT count(*) FROM c) AS avg),
+tf AS (SELECT id, token, count(*) AS tf FROM k WHERE token IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
+SELECT qid, id, round(round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 9), 6) AS bm25, count_if(NOT (df / total > 0.4 AND df > 3) AND length(term) > 2)::INT AS strong
+FROM q JOIN tf ON term = tf.token JOIN df ON tf.token = df.token JOIN len USING (id), st GROUP BY qid, id""")
+def ask_words(spark, folder):
+    """The part of ask_hits that words give: BM25 and telling terms of every chunk, for the questions in plain letters."""
+    index = S.index_chunks(chunks(spark, folder, "fileId", "symbolName", "startLine", "endLine", "kind", "text"))
+    asked = S.query_terms(spark, [QUESTIONS[0], QUESTIONS[1], QUESTIONS[3]]).collect()
+    return S.scores(stored(index), asked).where("bm25 > 0").select("qid", "id", F.round("bm25", 6).alias("bm25"), "strong")
+
+
 @query()
 def ask_hits(spark, folder):
     """The hybrid search of a few questions over all chunks."""
@@ -431,7 +473,13 @@ def cited_places(spark, folder):
     return V.references(table(spark, folder, "documents"), "doc_id").select("doc_id", "ref", "path", "line", "symbol")
 
 
-@query()
+@query(f"""WITH {FILES}, {SYMBOLS}, r AS (SELECT doc_id, ref, regexp_extract(ref, '^(.*?\\.[A-Za-z0-9]+):\\d', 1) AS path, TRY_CAST(regexp_extract(ref, ':(\\d+)', 1) AS INT) AS line, TRY_CAST(nullif(regexp_extract(ref, ':\\d+-(\\d+)', 1), '') AS INT) AS last, nullif(regexp_extract(ref, '#(.*)$', 1), '') AS symbol
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_REF}')) AS ref FROM documents)),
+n AS (SELECT name, count(DISTINCT id) AS n FROM s WHERE name IS NOT NULL GROUP BY 1), low AS (SELECT lower(id) AS id, max(loc) AS loc FROM f GROUP BY 1),
+v AS (SELECT r.*, f.id AS exact, low.id AS loose, coalesce(CASE WHEN f.id IS NOT NULL THEN f.loc ELSE low.loc END, 0) AS loc, CASE WHEN n.n IS NULL AND y.id IS NULL THEN NULL ELSE greatest(coalesce(n.n, 0), CASE WHEN y.id IS NULL THEN 0 ELSE 1 END) END AS symbols
+  FROM r LEFT JOIN f ON r.path = f.id LEFT JOIN low ON lower(r.path) = low.id LEFT JOIN n ON r.symbol = n.name LEFT JOIN s y ON r.symbol = y.id)
+SELECT doc_id, ref, CASE WHEN exact IS NULL AND loose IS NULL THEN 'unknown path' WHEN symbol IS NOT NULL AND symbols IS NULL THEN 'unknown symbol' WHEN symbols > 1 THEN 'ambiguous'
+ WHEN line < 1 OR loc > 0 AND line > loc OR last < 1 OR loc > 0 AND last > loc THEN 'line out of range' ELSE 'ok' END AS verdict FROM v""")
 def checked_citations(spark, folder):
     refs = V.references(table(spark, folder, "documents"), "doc_id")
     return V.check(refs, files(spark, folder), symbols(spark, folder)).select("doc_id", "ref", "verdict")
