@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or plan quality; sizes stay with the cluster.
@@ -51,9 +54,32 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_kept: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as Parquet to the shared checkpoint folder and read back: its lineage is cut, columns are pruned when it is
-    read, and values such as monotonically_increasing_id stay what they were. The folder's owner removes it."""
+    read, and values such as monotonically_increasing_id stay what they were. `release` removes what was stored, at the latest
+    when the driver ends."""
     path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    if not _kept:
+        atexit.register(release)
+    _kept.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(keep: Sequence[str] = ()) -> int:
+    """Removes what `stored` has written in this driver, apart from paths in `keep`, and gives how many folders that were. For a
+    service that runs many queries: call it when no result that reads them is in use any more."""
+    gone = 0
+    for path in [p for p in _kept if p not in keep]:
+        try:
+            jvm = SparkContext._jvm
+            file = jvm.org.apache.hadoop.fs.Path(path)
+            gone += bool(file.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(file, True))
+        except Exception:  # noqa: BLE001 - the JVM may be gone before the driver's Python
+            continue
+        finally:
+            _kept.remove(path)
+    return gone

@@ -225,3 +225,16 @@ def test_settled_rows_are_the_current_rows(spark):
     for slots in (64, 1 << 24):  # in a full filter every row takes the shuffle
         assert sorted(settled(df, ["n", "text"], slots=slots).collect()) == want
     assert settled(df.limit(0), ["n"]).count() == 0
+
+
+def test_stored_tables_are_removed(spark):
+    import os
+
+    from sparklode import session
+
+    session._kept.clear()
+    a, b = session.stored(spark.range(3)), session.stored(spark.range(4))
+    paths = [f.removeprefix("file://").rsplit("/", 1)[0] for d in (a, b) for f in d.inputFiles()[:1]]
+    assert all(map(os.path.isdir, paths)) and len(session._kept) == 2
+    assert session.release(keep=[session._kept[1]]) == 1 and [os.path.isdir(p) for p in paths] == [False, True]
+    assert b.count() == 4 and session.release() == 1 and not os.path.isdir(paths[1])
