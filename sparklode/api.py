@@ -21,6 +21,7 @@ from .functions.text import content_hash, count_lines, module_of
 from .operators import graph, records, retrieval
 from .operators.flows import related
 from .parse.parser import exploded, parse_files
+from .session import stored
 from .sources import scan as tree
 
 VERSION = 1
@@ -67,15 +68,15 @@ class Project:
         return tree.scan(self.spark, self.root, include, exclude, self.limits)
 
     def scan(self, include=(), exclude=()) -> dict:
-        listed = self.sources(include, exclude)
-        return tree.profile(listed, tree.read(self.spark, self.root, listed, self.limits))
+        listed = stored(self.sources(include, exclude))  # the profile asks many things of both; the tree is read once
+        return tree.profile(listed, stored(tree.read(self.spark, self.root, listed, self.limits)))
 
     def analyze(self, include=(), exclude=(), reuse: bool = True) -> dict:
         """Reads, parses and links the tree. Files whose hash is that of the last run keep their parsed row; only the others are
         parsed again."""
         run = f"run-{uuid.uuid4().hex[:12]}"
         path = str(self._folder() / run)
-        listed = self.sources(include, exclude)
+        listed = stored(self.sources(include, exclude))
         contents = tree.read(self.spark, self.root, listed, self.limits).select(F.col("path").alias("id"), module_of(F.col("path")).alias("moduleId"), "language", "kind", "loc", "bytes", "hash", "content")
         contents.write.parquet(f"{path}/contents")
         contents = self.spark.read.parquet(f"{path}/contents")
@@ -134,6 +135,14 @@ class Project:
             (folder / name).write_text(text)
         return {name: str(folder / name) for name in texts}
 
+    def brief(self, most: int = 14_000) -> str:
+        """The facts of the analyzed tree in at most `most` characters."""
+        from .report import brief
+
+        if self._version() is None:
+            raise ValueError("nothing is analyzed yet")
+        return brief({n: self.table(n) for n in TABLES}, self.scan(), most)
+
     def status(self) -> dict:
         held = self._version()
         index = self.table("index")
@@ -142,10 +151,11 @@ class Project:
 
 def link(files: DataFrame, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The parsed tables joined into one graph: imports to files, calls to symbols, routes to handlers, and the edges."""
-    symbols = t["symbols"].dropDuplicates(["id"])
+    symbols = stored(t["symbols"].dropDuplicates(["id"]))
     imports = t["imports"].dropDuplicates(["id"])
     resolved = records.resolve_imports(imports, files)
     imports = imports.join(resolved, "id", "left").withColumn("targetModule", module_of(F.col("target"))).withColumn("resolved", F.col("target").isNotNull())
+    imports = stored(imports)
     bound = records.bind_names(imports, symbols)
     away = imports.where("external").select("fileId", F.explode("names").alias("name"))
     known = files.sparkSession.createDataFrame([(b,) for b in dict.fromkeys(fixed.BUILTINS)], "name string")
@@ -155,6 +165,7 @@ def link(files: DataFrame, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     bodies = symbols.where(F.col("kind").isin(*records.FUNCTION_KINDS))
     around = records.innermost(calls.where("fromSymbol IS NULL").select("id", "fileId", F.col("line").alias("at")), bodies).withColumnRenamed("symbol", "__around")
     calls = calls.join(how, "id").join(first, ["fileId", "fromSymbol"], "left").join(around, "id", "left").withColumn("from_symbol", F.coalesce("from_symbol", "__around")).drop("__around")
+    calls = stored(calls)  # symbols and their edges count them
     near = records.next_within(t["routes"].select("id", "fileId", F.col("line").alias("at")), bodies)
     named = records.unique_names(symbols).select("fileId", F.col("name").alias("handler"), F.col("symbol").alias("__named"))
     routes = t["routes"].join(named, ["fileId", "handler"], "left").join(near.withColumnRenamed("symbol", "__near"), "id", "left").withColumn("handlerId", F.coalesce("__named", "__near")).drop("__named", "__near")
@@ -171,9 +182,9 @@ def link(files: DataFrame, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def flows(t: dict[str, DataFrame], entries: DataFrame) -> DataFrame:
     """The flows as a table of steps: start, kind, name, confidence, step, id, depth and evidence."""
-    from .operators.flows import detect
+    from .operators.flows import data_flows, detect
 
-    found = detect(t["routes"], t["symbols"], t["calls"], entries)
+    found = detect(t["routes"], t["symbols"], t["calls"], entries, data=data_flows(t["files"], t["imports"], t["symbols"]))
     return found.select("start", "kind", "name", "confidence", F.explode("steps").alias("s")).select("start", "kind", "name", "confidence", F.col("s.order").alias("step"), "s.id", "s.depth", "s.evidence")
 
 

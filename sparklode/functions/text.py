@@ -139,6 +139,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm))).otherwise(0.0)
 
 
+def padded(vector: Column, width: int = 256) -> Column:
+    """A vector of that width: longer ones lose their end, shorter ones gain zeros, null elements are zero, null is all zero."""
+    known = F.transform(F.coalesce(vector.cast("array<double>"), F.array().cast("array<double>")), lambda x: F.coalesce(x, F.lit(0.0)))
+    return F.slice(F.concat(known, F.array_repeat(F.lit(0.0), width)), 1, width)
+
+
+def batches(values: Column, size: int) -> Column:
+    """An array in arrays of `size` elements, the last one shorter; an empty one has none, null stays null."""
+    if size < 1:
+        raise ValueError("a batch holds at least one element")
+    n = F.ceil(F.size(values) / F.lit(size)).cast("int")
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.slice(values, k * size + 1, F.lit(size)))).when(values.isNotNull(), F.filter(F.array(values), lambda v: F.lit(False)))
+
+
 def bm25(tf: Column, df: Column, total: Column, length: Column, average: Column, k1: float = 1.2, b: float = 0.75) -> Column:
     idf = F.log(1 + (total - df + 0.5) / (df + 0.5))
     return idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / average))

@@ -30,8 +30,23 @@ def starts(routes: DataFrame, symbols: DataFrame, entries: DataFrame, kinds: tup
     return all_of.groupBy("id").agg(F.min(F.struct("o", "name", "kind")).alias("s")).select("id", "s.kind", "s.name")
 
 
-def detect(routes: DataFrame, symbols: DataFrame, calls: DataFrame, entries: DataFrame, depth: int = 5, steps: int = 24) -> DataFrame:
-    """start, kind, name, confidence and steps (order, id, depth, evidence) of the flows, the longest of each kind up to its cap.
+def data_flows(files: DataFrame, imports: DataFrame, symbols: DataFrame, steps: int = 24) -> DataFrame:
+    """The flows from configuration to its readers, in the form of `detect`: start is `data:` with the path, step 1 the file itself, then
+    its readers by path, each with the line of its import and its file's first symbol. That a name is imported is a weak sign, so
+    confidence is low."""
+    config = files.where("kind = 'config'").select(F.col("id").alias("target"))
+    used = imports.where("target IS NOT NULL").join(config, "target", "left_semi").groupBy("target", "fileId").agg(F.min("line").alias("line"))
+    first = symbols.groupBy("fileId").agg(F.min_by("id", F.struct("line", "id")).alias("id"))
+    few = top(used, "target", [F.col("fileId")], steps - 1).join(first, "fileId", "left")
+    step = F.struct((F.col("rank") + 1).cast("int").alias("order"), "id", F.lit(1).alias("depth"), F.concat_ws(":", "fileId", F.col("line").cast("string")).alias("evidence"))
+    origin = F.struct(F.lit(1).alias("order"), F.lit(None).cast("string").alias("id"), F.lit(0).alias("depth"), F.concat("target", F.lit(":1")).alias("evidence"))
+    whole = few.groupBy("target").agg(F.sort_array(F.collect_list(step)).alias("readers"))
+    return whole.select(F.concat(F.lit("data:"), "target").alias("start"), F.lit("data").alias("kind"), F.col("target").alias("name"), F.lit("low").alias("confidence"), F.concat(F.array(origin), "readers").alias("steps"))
+
+
+def detect(routes: DataFrame, symbols: DataFrame, calls: DataFrame, entries: DataFrame, depth: int = 5, steps: int = 24, data: DataFrame | None = None) -> DataFrame:
+    """start, kind, name, confidence and steps (order, id, depth, evidence) of the flows, the longest of each kind up to its cap;
+    `data` are the flows of `data_flows`.
 
     Confidence follows from the resolved steps after the start: three make it high, one medium.
     """
@@ -41,6 +56,7 @@ def detect(routes: DataFrame, symbols: DataFrame, calls: DataFrame, entries: Dat
     whole = met.groupBy("start").agg(F.sort_array(F.collect_list(step)).alias("steps"))
     n = F.size("steps") - 1
     rows = whole.join(begun, F.col("start") == F.col("id")).select("start", "kind", "name", F.when(n >= 3, "high").when(n >= 1, "medium").otherwise("low").alias("confidence"), "steps")
+    rows = rows if data is None else rows.unionByName(data)
     kept = top(rows, "kind", [F.desc(F.size("steps")), F.col("start")], max(CAPS.values()))
     cap = F.create_map(*[F.lit(x) for kv in CAPS.items() for x in kv])[F.col("kind")]
     return kept.where(F.col("rank") <= cap).orderBy("kind", "rank").limit(OVERALL).drop("rank")

@@ -30,6 +30,13 @@ def hubs(nodes: DataFrame, edges: DataFrame, limit: int = 30) -> DataFrame:
     return ranked.limit(limit)
 
 
+def densest(edges: DataFrame, limit: int = 1500) -> tuple[DataFrame, DataFrame]:
+    """The `limit` nodes with most neighbours (id, fan_in, fan_out; ties by id) and the edges among them: what a graph of symbols shows."""
+    nodes = degrees(edges).orderBy(F.desc(F.col("fan_in") + F.col("fan_out")), "id").limit(limit)
+    ids = nodes.select("id")
+    return nodes, edges.join(ids.withColumnRenamed("id", "from"), "from", "left_semi").join(ids.withColumnRenamed("id", "to"), "to", "left_semi")
+
+
 def orphans(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None, left_out: tuple[str, ...] = ("config", "docs", "asset", "infra")) -> DataFrame:
     """Nodes without any edge that are neither entries nor of a kind that is never imported."""
     kept = nodes.where(~F.coalesce(F.col("kind").isin(*left_out), F.lit(False)))

@@ -223,3 +223,25 @@ def even_sample(rows: DataFrame, group: str, order: Sequence[Column], most: int)
     step = (F.col("__n") - 1) / F.lit(max(most - 1, 1))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * step + 0.5))
     return ranked.where((F.col("__n") <= most) | F.array_contains(wanted, F.col("__k").cast("bigint"))).drop("__k", "__n")
+
+
+def cap_chunks(chunks: DataFrame, most: int = 60, group: str = "fileId") -> DataFrame:
+    """`chunks` with at most `most` of each file: the header always, of code those that span most lines, of documents and configuration
+    an even sample over the file. What the body of a file is, its first chunk after the header tells.
+
+    A feature to keep an index small; nothing else uses it. Ties go by line and id; a null kind is taken for code.
+    """
+    header = F.coalesce(F.col("kind") == "file-header", F.lit(False))
+    by = Window.partitionBy(group)
+    order = [F.col("startLine"), F.col("id")]
+    body = chunks.where(~header).withColumn("__n", F.count(F.lit(1)).over(by)).withColumn("__k", F.row_number().over(by.orderBy(*order)) - 1)
+    first = chunks.where(~header).groupBy(group).agg(F.min_by("kind", F.struct(*order)).alias("__first"))
+    held = chunks.where(header).groupBy(group).agg(F.lit(1).alias("__held"))
+    body = body.join(first, group).join(held, group, "left").withColumn("__room", F.greatest(F.lit(most) - F.coalesce("__held", F.lit(0)), F.lit(0)))
+    span = F.greatest(F.col("endLine") - F.col("startLine"), F.lit(0))
+    wide = F.row_number().over(by.orderBy(F.desc(span), *order)) <= F.col("__room")
+    step = (F.col("__n") - 1) / F.greatest(F.col("__room") - 1, F.lit(1))
+    even = F.exists(F.sequence(F.lit(0), F.greatest(F.col("__room") - 1, F.lit(0))), lambda i: F.floor(i * step + 0.5) == F.col("__k")) & (F.col("__room") > 0)
+    fits = F.col("__n") + F.coalesce("__held", F.lit(0)) <= most
+    picked = body.withColumn("__wide", wide).where(fits | F.when(F.col("__first").isin("config", "doc"), even).otherwise(F.col("__wide")))
+    return chunks.where(header).unionByName(picked.select(chunks.columns))

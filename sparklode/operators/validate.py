@@ -17,6 +17,19 @@ def references(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return found.select(key, "ref", part(1).alias("path"), number(2).alias("line"), number(3).alias("endLine"), F.nullif(part(4), F.lit("")).alias("symbol"))
 
 
+#: A name in back-ticks.
+NAMED = r"`([A-Za-z_$][A-Za-z0-9_$]{1,80})`"
+
+
+def named(texts: DataFrame, key: str, symbols: DataFrame, text: str = "text") -> DataFrame:
+    """key, name, mentions and verdict (ok or unknown symbol) of every name in back-ticks; a name is one row a text. A null text names
+    nothing. The distinct names are joined, not the mentions."""
+    found = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(NAMED), F.lit(1))).alias("name"))
+    counted = found.groupBy(key, "name").agg(F.count(F.lit(1)).alias("mentions"))
+    known = symbols.where("name IS NOT NULL").select("name", F.lit(True).alias("__known")).distinct()
+    return counted.join(known, "name", "left").select(key, "name", "mentions", F.when(F.col("__known"), "ok").otherwise("unknown symbol").alias("verdict"))
+
+
 def check(refs: DataFrame, files: DataFrame, symbols: DataFrame, slack: int = 0) -> DataFrame:
     """`refs` with verdict: ok, ambiguous (several symbols of the name), unknown path, unknown symbol or line out of range.
 

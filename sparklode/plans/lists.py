@@ -9,10 +9,13 @@ from ..functions import text as X
 from ..operators import graph as G
 from ..operators import records as R
 from ..operators import retrieval as S
+from ..operators import rules
+from ..operators import validate as V
 from ..operators.flows import configuration
 from ..operators.ranking import ranked, reciprocal_ranks, top
-from ..sources.tables import table
-from .code import DEGREES, FILE_EDGES, FILES, IMPORTS, MODULE_EDGES, SYMBOLS, _NAMED, _WORDS, file_edges, files, imports, module_edges, symbols
+from ..session import stored
+from ..sources.tables import current_rows, table
+from .code import CHUNKS, DEGREES, FILE_EDGES, FILES, IMPORTS, MODULE_EDGES, SYMBOLS, _NAMED, _WORDS, file_edges, files, imports, module_edges, symbols
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -152,8 +155,53 @@ def event_stats(spark, folder):
     return table(spark, folder, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.countDistinct("user_id").alias("users"), F.max(k).alias("most"))
 
 
-@query(_NAMED + f", {IMPORTS}, u AS (SELECT target, fileId, min(line) AS line FROM i JOIN g ON target = g.id WHERE fileId <> target AND g.kind IN ('source', 'test') GROUP BY ALL) SELECT target AS id, count(*) AS readers, min(fileId) AS first_reader FROM u GROUP BY target")
+#: Configuration and its readers, planted, as no file of the tables imports any: (reader, configuration, line).
+READERS = [("src/b.js", "conf/app.json", 4), ("src/a.js", "conf/app.json", 9), ("src/a.js", "conf/app.json", 2), ("conf/app.json", "conf/app.json", 1), ("src/c.js", "src/a.js", 1), ("src/d.js", "settings.yaml", 7)]
+_READERS = ", ".join(f"('{a}', '{b}', {n})" for a, b, n in READERS)
+
+
+@query(_NAMED + f", {IMPORTS}, x AS (SELECT fileId, target, line FROM i UNION ALL SELECT * FROM (VALUES {_READERS}) t(fileId, target, line)), cfg AS (SELECT id FROM g WHERE kind = 'config' UNION SELECT unnest(['conf/app.json', 'settings.yaml'])), u AS (SELECT target, fileId, min(line) AS line FROM x JOIN cfg ON target = cfg.id WHERE fileId <> target GROUP BY ALL) SELECT target AS id, count(*) AS readers, min(fileId) AS first_reader, arg_min(line, fileId)::INT AS first_line FROM u GROUP BY target")
 def import_readers(spark, folder):
-    """The readers of every imported source, as configuration files have them."""
-    f = files(spark, folder).where("kind IN ('source', 'test')").withColumn("kind", F.lit("config"))
-    return configuration(f, imports(spark, folder)).select("id", "readers", F.col("first.fileId").alias("first_reader"))
+    """The readers of configuration files, those of the tables and planted ones."""
+    rows = spark.createDataFrame(READERS, "fileId string, target string, line int")
+    names = spark.createDataFrame([("conf/app.json",), ("settings.yaml",)], "id string")
+    planted = names.select("id", rules.file_kind(F.col("id"), rules.language_of(F.col("id"))).alias("kind"))
+    found = configuration(files(spark, folder).select("id", "kind").unionByName(planted), imports(spark, folder).select("fileId", "target", "line").unionByName(rows))
+    return found.select("id", "readers", F.col("first.fileId").alias("first_reader"), F.col("first.line").alias("first_line"))
+
+
+@query(f"WITH {SYMBOLS}, n AS (SELECT doc_id, unnest(regexp_extract_all(text, '`([A-Za-z_$][A-Za-z0-9_$]{{1,80}})`', 1)) AS name FROM documents) SELECT doc_id, name, count(*) AS mentions, CASE WHEN name IN (SELECT name FROM s WHERE name IS NOT NULL) THEN 'ok' ELSE 'unknown symbol' END AS verdict FROM n GROUP BY doc_id, name")
+def backticked_names(spark, folder):
+    return V.named(table(spark, folder, "documents"), "doc_id", symbols(spark, folder))
+
+
+@query(f"""WITH {CHUNKS}, b AS (SELECT *, count(*) OVER (PARTITION BY fileId) AS n, row_number() OVER (PARTITION BY fileId ORDER BY startLine, id) - 1 AS k, first(kind) OVER (PARTITION BY fileId ORDER BY startLine, id) AS body, row_number() OVER (PARTITION BY fileId ORDER BY greatest(endLine - startLine, 0) DESC, startLine, id) AS w FROM c WHERE kind <> 'file-header'),
+h AS (SELECT DISTINCT fileId FROM c WHERE kind = 'file-header'), r AS (SELECT b.*, CASE WHEN h.fileId IS NULL THEN 0 ELSE 1 END AS head FROM b LEFT JOIN h USING (fileId))
+SELECT id FROM c WHERE kind = 'file-header' UNION ALL SELECT id FROM r WHERE n + head <= 5 OR CASE WHEN body IN ('config', 'doc') THEN k IN (SELECT floor(i * (n - 1) / (4.0 - head) + 0.5) FROM range(0, 5 - head) t(i)) ELSE w <= 5 - head END""")
+def capped_chunks(spark, folder):
+    """At most five chunks of each file."""
+    return R.cap_chunks(current_rows(table(spark, folder, "chunks"), ["fileId", "kind", "startLine", "endLine"]), 5).select("id")
+
+
+@query(f"""WITH {SYMBOLS}, u AS (SELECT fileId, name, min(id) AS symbol FROM s GROUP BY fileId, name HAVING count(*) = 1),
+e AS (SELECT u.symbol AS a, s.id AS b, count(*) AS weight FROM s JOIN u ON s.fileId = u.fileId AND s.parent = u.name WHERE u.symbol <> s.id GROUP BY ALL), {DEGREES} SELECT id, fan_in, fan_out FROM d ORDER BY fan_in + fan_out DESC, id LIMIT 1500""")
+def symbol_nodes(spark, folder):
+    """The graph of symbols and those they hold: its 1500 nodes with most neighbours."""
+    all_of = stored(symbols(spark, folder).select("id", "fileId", "name", "parent"))
+    above = R.unique_names(all_of).withColumnRenamed("name", "parent")
+    return G.densest(G.weighted_edges(all_of.select("id", "fileId", "parent").join(above, ["fileId", "parent"]), "symbol", "id"))[0]
+
+
+@query("SELECT vec_id, list_slice(list_concat(embedding::DOUBLE[], list_transform(range(0, 200), lambda x: 0.0::DOUBLE)), 1, len(embedding) + 6) AS wide, (embedding::DOUBLE[])[:5] AS short FROM embeddings")
+def padded_vectors(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    width = rows.select(F.max(F.size("embedding")).alias("n")).first().n or 1
+    return rows.select("vec_id", X.padded(F.col("embedding"), width + 6).alias("wide"), X.padded(F.col("embedding"), 5).alias("short"))
+
+
+@query(f"WITH {CHUNKS}, t AS (SELECT id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS p FROM c) SELECT id, (p - 1) // 50 AS batch, count(*) AS n, count(w) AS known, min(w) AS first FROM t GROUP BY ALL")
+def token_batches(spark, folder):
+    """The tokens of each chunk in batches of fifty."""
+    now = current_rows(table(spark, folder, "chunks"), ["tokens"])
+    parts = now.select("id", F.posexplode(X.batches(F.col("tokens"), 50)).alias("batch", "b"))
+    return parts.select("id", F.col("batch").cast("bigint").alias("batch"), F.size("b").cast("bigint").alias("n"), F.size(F.array_compact("b")).cast("bigint").alias("known"), F.array_min(F.array_compact("b")).alias("first"))

@@ -154,6 +154,8 @@ def profile(sources: DataFrame, contents: DataFrame) -> dict:
     loose = M.unpinned(found).count()
     found.unpersist()
     marks = {r.kind: r["count"] for r in signals(contents).groupBy("kind").count().collect()}
+    places = signals(contents).where("kind = 'secret'").select(F.concat_ws(":", "path", F.col("line").cast("string")).alias("at")).orderBy("at").limit(20).collect()
+    hidden = sources.where(F.col("sensitive").isNotNull() & (F.col("sensitive") != "env-template")).select("path").orderBy("path").limit(50).collect()
     unchecked = contents.where(F.lower(base_name(F.col("path"))).startswith("dockerfile") & ~F.col("content").contains("HEALTHCHECK")).count()
     entries = entry_points(contents).orderBy("path", "kind").limit(200).collect()
     packaged = [e for e in ecosystems if e["ecosystem"] in ("node", "python", "rust", "ruby", "php")]
@@ -164,7 +166,7 @@ def profile(sources: DataFrame, contents: DataFrame) -> dict:
         ("todo-backlog", "P3", marks.get("todo", 0) >= 20), ("debug-leftovers", "P3", marks.get("debug", 0) > 0), ("container-no-healthcheck", "P3", unchecked > 0)]
     return {
         "size": {"files": size.files, "bytes": size.bytes or 0, "sensitive": size.sensitive}, "languages": [r.asDict() for r in languages], "kinds": {r.kind: r["count"] for r in kinds}, "ecosystems": ecosystems, "commands": runs, "testFrameworks": tests, "notable": purposes,
-        "signals": marks, "entrypoints": [r.asDict() for r in entries], "docker": bool(has.docker), "gaps": [{"id": g, "priority": p} for g, p, on in gaps if on],
+        "signals": marks, "secrets": [r["at"] for r in places], "sensitivePaths": [r.path for r in hidden], "entrypoints": [r.asDict() for r in entries], "docker": bool(has.docker), "gaps": [{"id": g, "priority": p} for g, p, on in gaps if on],
     }
 
 

@@ -109,3 +109,16 @@ def test_another_parser_parses_again(spark, root, monkeypatch):
     assert project.analyze()["parsed"] == 5 and project.update()["parsed"] == 0
     monkeypatch.setattr(api, "PARSER", api.PARSER + 1)
     assert project.update()["parsed"] == 5
+
+
+def test_facts_and_flows_of_configuration(spark, root):
+    (root / "src/conf").mkdir()
+    (root / "src/conf/app.json").write_text('{"port": 3000}\n')
+    (root / "src/auth.js").write_text("import conf from './conf/app.json';\n" + FILES["src/auth.js"])
+    project = Project(spark, str(root))
+    project.analyze()
+    flow = project.table("flows").where("kind = 'data'").orderBy("step").collect()
+    assert [(r.start, r.step, r.evidence, r.confidence) for r in flow] == [("data:src/conf/app.json", 1, "src/conf/app.json:1", "low"), ("data:src/conf/app.json", 2, "src/auth.js:1", "low")]
+    facts = project.brief()
+    assert facts.startswith("# Facts") and "POST /login | src/server.js:13 | express" in facts and "[P0] sensitive-files-present" in facts and "hunter2" not in facts
+    assert project.brief(60).endswith("(cut short)") and len(project.brief(60)) <= 60
