@@ -39,10 +39,11 @@ def densest(edges: DataFrame, limit: int = 1500) -> tuple[DataFrame, DataFrame]:
 
 def orphans(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None, left_out: tuple[str, ...] = ("config", "docs", "asset", "infra")) -> DataFrame:
     """Nodes without any edge that are neither entries nor of a kind that is never imported."""
-    kept = nodes.where(~F.coalesce(F.col("kind").isin(*left_out), F.lit(False)))
-    if entries is not None:
-        kept = kept.join(entries.select("id"), "id", "left_anti")
-    return kept.join(degrees(edges).select("id"), "id", "left_anti").select("id")
+    kept = nodes if entries is None else nodes.join(entries.select("id"), "id", "left_anti")
+    linked = edges.select(F.col("from").alias("id")).unionByName(edges.select(F.col("to").alias("id")))
+    # the kind goes through a struct, so that a costly one is worked out once and not again for each comparison of the filter
+    alone = kept.join(linked, "id", "left_anti").select("id", F.array(F.struct("kind")).alias("__k"))
+    return alone.where(~F.coalesce(F.exists("__k", lambda k: k["kind"].isin(*left_out)), F.lit(False))).select("id")
 
 
 def reachable(starts: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:

@@ -124,11 +124,8 @@ def language_of(path: Column) -> Column:
     """The language of a path: by its whole name, its beginning, its extension, else `text`."""
     base = F.lower(base_name(path))
     table = lambda rows: F.create_map(*[F.lit(x) for pair in rows.items() for x in pair])
-    return (
-        F.when(table(fixed.NAME_LANGUAGES)[base].isNotNull(), table(fixed.NAME_LANGUAGES)[base]).when(base.startswith("dockerfile") | base.startswith("makefile"), "text")
-        .when(table(fixed.EXTENSION_LANGUAGES)[extension_of(path)].isNotNull(), table(fixed.EXTENSION_LANGUAGES)[extension_of(path)])
-        .when(base.startswith("readme."), "markdown").otherwise("text")
-    )
+    named = F.when(base.startswith("dockerfile") | base.startswith("makefile"), "text")
+    return F.coalesce(table(fixed.NAME_LANGUAGES)[base], named, table(fixed.EXTENSION_LANGUAGES)[extension_of(path)], F.when(base.startswith("readme."), "markdown"), F.lit("text"))
 
 
 def path_roles(path: Column) -> Column:
