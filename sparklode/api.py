@@ -26,7 +26,7 @@ from .sources import scan as tree
 
 VERSION = 1
 #: Raised with each change of what the parser or the index gives for the same text; rows of another version are made anew.
-PARSER, INDEX = 2, 1
+PARSER, INDEX = 3, 1
 TABLES = ("files", "symbols", "imports", "calls", "routes", "todos", "edges", "module_edges", "symbol_edges", "flows", "chunks", "index")
 
 class Project:

@@ -18,7 +18,10 @@ MOST_SYMBOLS, MOST_CALLS, MOST_TODOS = 4000, 6000, 500
 VERBS = "get post put patch delete head options all".split()
 CONTROL = frozenset("if for while switch catch return function else do try new".split())
 CALL = re.compile(r"(?<![\w$.])((?:[A-Za-z_$][\w$]*(?:\.|\?\.|::))*)([A-Za-z_$][\w$]*)[ \t]*\(")
-JS_ROUTE = re.compile(r"\b(app|router|server|fastify|api|routes?)\.(get|post|put|patch|delete|head|options|all)\(\s*(?=['\"`])")
+JS_ROUTE = re.compile(r"(?<![\w$])(?:[A-Za-z_$][\w$]*\.)*([A-Za-z_$][\w$]*)\s*\.\s*(get|post|put|patch|delete|head|options|all)\(\s*(?=['\"`])")
+#: What a route is declared on; other objects have methods of these names too.
+ROUTED = re.compile(r"(?i)\w*(?:app|router|server|api|routes?)|fastify|koa\w*")
+INLINE, LAST_NAME, NAME_PATH = re.compile(r"=>|\bfunction\b"), re.compile(r"[A-Za-z_$][\w$]*\Z"), re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*")
 NEST_ROUTE = re.compile(r"@(Get|Post|Put|Patch|Delete|Head|Options|All)\(\s*(['\"`][^'\"`]*['\"`])?\s*\)")
 NEST_PREFIX = re.compile(r"@Controller\(\s*(['\"`])([^'\"`]*)\1")
 PY_ROUTE = re.compile(r"^[ \t]*@(\w+)\.(route|get|post|put|patch|delete|head|options|websocket|task)\b(?:\(\s*(?:[rf]?(['\"])([^'\"]*)\3)?([^\n]*))?", re.M)
@@ -33,7 +36,7 @@ ALL_LIST = re.compile(r"^__all__\s*=\s*[\[(]([^\])]*)[\])]", re.M)
 SCHEMA = (
     "id string, language string, depth string, symbols array<struct<name:string,kind:string,line:int,endLine:int,exported:boolean,parent:string,signature:string,doc:string>>, "
     "imports array<struct<specifier:string,line:int,names:array<string>,kind:string>>, calls array<struct<callee:string,line:int,fromSymbol:string,receiver:string>>, "
-    "routes array<struct<method:string,path:string,line:int,handler:string,framework:string>>, exports array<string>, todos array<struct<kind:string,line:int,text:string>>, notes array<string>"
+    "routes array<struct<method:string,path:string,line:int,handler:string,framework:string,middlewares:array<string>>>, exports array<string>, todos array<struct<kind:string,line:int,text:string>>, notes array<string>"
 )
 
 
@@ -60,15 +63,16 @@ def _parse(source: str, language: str, spec: Language) -> dict:
     starts = [0, *[m.end() for m in re.finditer("\n", source)]]
     line_of = lambda at: bisect.bisect_right(starts, at)
     symbols = _symbols(source, masked, lines, spec, line_of, language)
-    owners = sorted((s for s in symbols if s["kind"] in ENTRY_LIKE), key=lambda s: (s["line"], -s["endLine"]))
     exports = _exports(source, symbols, language)
     for s in symbols:
         s["exported"] = s["exported"] or s["name"] in exports
-    routes = _routes(source, masked, symbols, language, line_of)
+    routes, inline = _routes(source, masked, symbols, language, line_of)
+    symbols = sorted([*symbols, *inline], key=lambda s: (s["line"], s["endLine"]))
     for r in routes:
         for s in symbols:
             if s["name"] == r["handler"] and s["kind"] in ("function", "method"):
                 s["kind"] = "route-handler" if s["kind"] == "function" else s["kind"]
+    owners = sorted((s for s in symbols if s["kind"] in ENTRY_LIKE), key=lambda s: (s["line"], -s["endLine"]))
     calls = _calls(masked, symbols, owners, line_of) if spec.calls else []
     return {"language": language, "depth": "deep" if spec.deep else "light", "symbols": symbols[:MOST_SYMBOLS], "imports": _imports(source, masked, spec, line_of), "calls": calls[:MOST_CALLS], "routes": routes, "exports": sorted(exports), "todos": _todos(source, spec.style), "notes": []}
 
@@ -235,20 +239,55 @@ def _join(*parts: str) -> str:
     return "/" + "/".join(p.strip("/") for p in parts if p and p.strip("/"))
 
 
-def _routes(source, masked, symbols, language, line_of) -> list[dict]:
-    out = []
-
-    def add(method, path, at, handler, framework):
-        out.append({"method": method.upper(), "path": path, "line": line_of(at), "handler": handler, "framework": framework})
+def _arguments(masked: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Where the arguments between two brackets begin and end; commas within brackets divide nothing."""
+    out, depth, begin = [], 0, start
+    for at in range(start, end):
+        c = masked[at]
+        depth += (c in "([{") - (c in ")]}")
+        if c == "," and depth == 0:
+            out.append((begin, at))
+            begin = at + 1
+    return [*out, (begin, end)]
+
+
+def _routes(source, masked, symbols, language, line_of) -> tuple[list[dict], list[dict]]:
+    """The routes of a file, and a symbol for each handler that is written where the route is declared."""
+    out, inline, taken = [], [], {s["name"] for s in symbols}
+
+    def add(method, path, at, handler, framework, middlewares=()):
+        out.append({"method": method.upper(), "path": path, "line": line_of(at), "handler": handler, "framework": framework, "middlewares": list(middlewares)})
+
+    def promoted(method, path, a, b):
+        name = f"{method.upper()} {path} handler"
+        name = f"{name}@{line_of(a)}" if name in taken else name
+        taken.add(name)
+        begin = a + len(masked[a:b]) - len(masked[a:b].lstrip())
+        brace = masked.find("{", INLINE.search(masked, begin, b).start(), b)
+        end = closing(masked, brace) if brace >= 0 else b
+        head = source[begin : brace if brace >= 0 else b].strip()
+        inline.append({"name": name, "kind": "route-handler", "line": line_of(begin), "endLine": line_of(min(end, max(0, len(masked) - 1))), "exported": False, "parent": None, "signature": head[:300], "doc": None})
+        return name
 
     if language in ("javascript", "typescript", "jsx", "tsx"):
+        koa = re.search(r"['\"/](?:koa|@koa/router)['\"]", source)
         for m in JS_ROUTE.finditer(source):
-            if masked[m.start() : m.start() + 3].strip():
-                path = _quoted(source, m.end())
-                end = closing(masked, masked.index("(", m.start()), "()")
-                handlers = re.findall(r"[A-Za-z_$][\w$.]*", masked[m.end() + len(path or "") + 2 : end].split("=>")[0].split("function")[0])
-                if path is not None and (path.startswith("/") or path == "*"):
-                    add(m.group(2), path, m.start(), handlers[-1].rsplit(".", 1)[-1] if handlers and "=>" not in masked[m.end() : end] else None, "fastify" if m.group(1) == "fastify" else "express")
+            path = _quoted(source, m.end())
+            if not masked[m.start(1)].strip() or not ROUTED.fullmatch(m.group(1)) or path is None or not (path.startswith("/") or path == "*"):
+                continue
+            bracket = masked.index("(", m.end(2))
+            rest = _arguments(masked, bracket + 1, closing(masked, bracket, "()"))[1:]
+            framework = "fastify" if m.group(1) == "fastify" else "koa" if koa or m.group(1).lower().startswith("koa") else "express"
+            if not rest:
+                continue
+            a, b = rest[-1]
+            if INLINE.search(masked, a, b):
+                handler = promoted(m.group(2), path, a, b)
+            else:
+                named = NAME_PATH.fullmatch(masked[a:b].strip())
+                handler = named.group().rsplit(".", 1)[-1] if named else None
+            between = [LAST_NAME.search(masked[x:y].strip()) for x, y in rest[:-1]]
+            add(m.group(2), path, m.start(1), handler, framework, [x.group() for x in between if x])
         prefix = NEST_PREFIX.search(source)
         for m in NEST_ROUTE.finditer(source):
             if masked[m.start()].strip():
@@ -284,7 +323,7 @@ def _routes(source, masked, symbols, language, line_of) -> list[dict]:
             line = line_of(m.start())
             own = next((p for n, p in paths if n > first and abs(n - line) <= 2), "")
             add(m.group(1), _join(base, own), m.start(), _after(symbols, line), "jax-rs")
-    return sorted(out, key=lambda r: (r["line"], r["path"]))
+    return sorted(out, key=lambda r: (r["line"], r["path"])), inline
 
 
 def _exports(source, symbols, language) -> set[str]:

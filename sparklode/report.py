@@ -167,7 +167,7 @@ def render(t: dict[str, DataFrame], profile: dict) -> dict[str, str]:
     how = {r.resolution: r["count"] for r in t["calls"].groupBy("resolution").count().collect()}
     overview = "\n".join(["# Overview", "", f"{profile['size']['files']} files, {profile['size']['bytes']} bytes.", "", "## Languages", "", grid(["language", "files", "lines"], [(x["language"], x["files"], x["loc"]) for x in profile["languages"]]), "## Modules", "", grid(["module", "kind", "language", "files", "lines"], [(r.moduleId, r.kind, r.language, r.files, r.loc) for r in rollup]) + shown(rollup, totals["modules"]), "## Calls", "", grid(["resolution", "calls"], sorted(how.items()))])
     architecture = "\n".join(["# Architecture", "", "## Layers", "", layer_chart(t), "## Modules", "", flow_chart(t["module_edges"]), "## Files", "", flow_chart(t["edges"]), "## Most needed files", "", grid(["file", "importers", "imports"], [(h.id, h.fan_in, h.fan_out) for h in hubs]), "## Symbols", "", flow_chart(among), grid(["symbol", "place", "called by", "calls"], [(b["name"], f"{b.fileId}:{b.line}", b.fan_in, b.fan_out) for b in busy]), "## Files without links", "", *[f"- {o}" for o in orphans], ""])
-    flows = "\n".join(["# Flows", "", "## Routes", "", grid(["method", "path", "handler", "place"], [(r.method, r.path, r.handler, f"{r.fileId}:{r.line}") for r in routes]) + shown(routes, totals["routes"]), "## Sequences", "", sequence(t["flows"], t["symbols"])])
+    flows = "\n".join(["# Flows", "", "## Routes", "", grid(["method", "path", "handler", "before it", "place"], [(r.method, r.path, r.handler, ", ".join(r.middlewares or ()), f"{r.fileId}:{r.line}") for r in routes]) + shown(routes, totals["routes"]), "## Sequences", "", sequence(t["flows"], t["symbols"])])
     risk_text = "\n".join(["# Risks", "", grid(["severity", "what", "evidence"], [(r["severity"], r["title"], ", ".join(r["evidence"])) for r in found])])
     guide = "\n".join(["# Reading guide", "", *[f"{k}. {p}" for k, p in enumerate(order, 1)], "", *[line for role, steps in readers.items() for line in (f"## {role}", "", *[f"- {s}" for s in steps], "")]])
     whole = {"profile": profile, "modules": [r.asDict() for r in rollup], "hubs": [r.asDict() for r in hubs], "orphans": orphans, "routes": [r.asDict() for r in routes], "risks": found, "readingOrder": order, "symbols": [b.asDict() for b in busy], "totals": totals, "roles": readers, "calls": how}

@@ -238,3 +238,22 @@ def test_stored_tables_are_removed(spark):
     assert all(map(os.path.isdir, paths)) and len(session._kept) == 2
     assert session.release(keep=[session._kept[1]]) == 1 and [os.path.isdir(p) for p in paths] == [False, True]
     assert b.count() == 4 and session.release() == 1 and not os.path.isdir(paths[1])
+
+
+def test_routes_with_their_handlers_in_place():
+    source = (
+        "import express from 'express';\n"
+        "userRouter.get('/users/:id', auth, limits.check, async (req, res) => {\n  const u = await loadUser(req.params.id);\n  res.json(u);\n});\n"
+        "this.app.post('/login', guard, ctl.login);\n"
+        "router.get('/short', (req, res) => res.send(ping()));\n"
+        "router.get('/short', function (req, res) {\n  pong();\n});\n"
+        "cache.get('/no/route', f); // app.get('/comment', g)\n"
+        "app.get('name');\n"
+    )
+    out = parse(source, "javascript")
+    assert [(r["method"], r["path"], r["line"], r["handler"], r["middlewares"]) for r in out["routes"]] == [
+        ("GET", "/users/:id", 2, "GET /users/:id handler", ["auth", "check"]), ("POST", "/login", 6, "login", ["guard"]), ("GET", "/short", 7, "GET /short handler", []), ("GET", "/short", 8, "GET /short handler@8", [])]
+    handlers = [(s["name"], s["line"], s["endLine"]) for s in out["symbols"] if s["kind"] == "route-handler"]
+    assert handlers == [("GET /users/:id handler", 2, 5), ("GET /short handler", 7, 7), ("GET /short handler@8", 8, 10)]
+    assert {c["callee"]: c["fromSymbol"] for c in out["calls"] if c["callee"] in ("loadUser", "ping", "pong")} == {"loadUser": "GET /users/:id handler", "ping": "GET /short handler", "pong": "GET /short handler@8"}
+    assert parse("app.get('/x', (", "javascript")["routes"] != [] and parse("app.get('/x'", "javascript")["routes"] == []
