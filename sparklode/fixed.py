@@ -231,3 +231,14 @@ BUILTINS = (
     "puts", "p", "gets", "nil", "self", "dd", "dump", "var_dump", "echo", "empty", "isset", "unset",
     "printf", "sprintf", "implode", "explode", "array_map", "function_exists",
 )
+
+#: Kinds of projects in their order, dependencies that make one a web app or a service, and signs of a monorepo.
+PROJECT_KINDS = ("cli", "library", "web-app", "api-service", "monorepo", "plugin", "data", "docs-only")
+FRONTEND = ("react", "vue", "svelte", "next", "nuxt", "angular", "astro", "solid-js", "preact", "gatsby", "tailwind")
+BACKEND = (
+    "express", "koa", "fastify", "nestjs", "hapi", "restify", "django", "flask", "fastapi",
+    "starlette", "rails", "sinatra", "laravel", "symfony", "spring-boot", "gin-gonic", "labstack/echo",
+    "gofiber", "actix-web", "axum", "quarkus", "micronaut",
+)
+MONOREPO_FILES = ("pnpm-workspace.yaml", "pnpm-workspace.yml", "lerna.json", "nx.json", "turbo.json", "rush.json")
+MONOREPO_PACKAGES = r"^(?:packages|apps|libs|modules|plugins)/[^/]+/package\.json$"

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions.text import base_name, count_lines, normalize_text
 from ..operators import rules
 
@@ -36,8 +37,9 @@ def _files(root: str):
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path (relative) and bytes of every file under root; contents are not touched. A missing root gives no rows.
 
-    The driver lists the root and its folders, tasks list what is below, one folder each. Spark's own file source would leave out
-    names that begin with a dot or an underscore, which source trees have. Links to folders are not followed.
+    The driver lists the root, tasks list its folders, and after these are spread out again other tasks list what is below each of
+    their folders, so that one huge folder at the top is no single task. Spark's own file source would leave out names that begin
+    with a dot or an underscore, which source trees have. Links to folders are not followed.
     """
     from pyarrow.fs import FileSelector, FileType
 
@@ -46,24 +48,31 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     if fs.get_file_info(base).type != FileType.Directory:
         return spark.createDataFrame([], schema)
     top = fs.get_file_info(FileSelector(base))
-    heads = [(i.path[len(base) + 1 :], i.size if i.type == FileType.File else None) for i in top if i.type in (FileType.File, FileType.Directory)]
+    heads = [(i.path[len(base) + 1 :], i.size if i.type == FileType.File else -1) for i in top if i.type in (FileType.File, FileType.Directory)]
     if not heads:
         return spark.createDataFrame([], schema)
 
-    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = _files(root)
-        for batch in batches:
-            rows: list[tuple[str, int]] = []
-            for name, size in zip(batch["path"], batch["bytes"]):
-                if size == size and size is not None:
-                    rows.append((name, int(size)))
-                else:
-                    found = fs.get_file_info(FileSelector(f"{base}/{name}", recursive=True))
-                    rows += [(i.path[len(base) + 1 :], i.size) for i in found if i.type == FileType.File]
-            yield pd.DataFrame(rows, columns=["path", "bytes"])
+    def opened(recursive: bool):
+        """Folders (rows of size -1) become what they hold: everything below, or files and folders one level down."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fs, base = _files(root)
+            for batch in batches:
+                rows: list[tuple[str, int]] = []
+                for name, size in zip(batch["path"], batch["bytes"]):
+                    if size >= 0:
+                        rows.append((name, int(size)))
+                        continue
+                    for i in fs.get_file_info(FileSelector(f"{base}/{name}", recursive=recursive)):
+                        if i.type == FileType.File or i.type == FileType.Directory and not recursive:
+                            rows.append((i.path[len(base) + 1 :], i.size if i.type == FileType.File else -1))
+                yield pd.DataFrame(rows, columns=["path", "bytes"])
+
+        return run
 
-    folders = spark.createDataFrame(heads, schema)
-    return folders.repartition(min(len(heads), 4 * spark.sparkContext.defaultParallelism), "path").mapInPandas(below, schema)
+    width = 4 * spark.sparkContext.defaultParallelism
+    folders = spark.createDataFrame(heads, schema).repartition(min(len(heads), width), "path").mapInPandas(opened(False), schema)
+    return folders.repartition(width, "path").mapInPandas(opened(True), schema)
 
 
 def ignore_rules(root: str, extra: Sequence[str] = ()) -> list[str]:
@@ -152,6 +161,7 @@ def profile(sources: DataFrame, contents: DataFrame) -> dict:
     tests = [r.asDict() for r in M.frameworks(found, contents).orderBy("framework").collect()]
     purposes = [r.asDict() for r in M.notable(found).orderBy("purpose", "name", "path").limit(100).collect()]
     loose = M.unpinned(found).count()
+    kinds_of = project_kinds(sources, contents, found, entry_points(contents))
     found.unpersist()
     marks = {r.kind: r["count"] for r in signals(contents).groupBy("kind").count().collect()}
     places = signals(contents).where("kind = 'secret'").select(F.concat_ws(":", "path", F.col("line").cast("string")).alias("at")).orderBy("at").limit(20).collect()
@@ -166,10 +176,26 @@ def profile(sources: DataFrame, contents: DataFrame) -> dict:
         ("todo-backlog", "P3", marks.get("todo", 0) >= 20), ("debug-leftovers", "P3", marks.get("debug", 0) > 0), ("container-no-healthcheck", "P3", unchecked > 0)]
     return {
         "size": {"files": size.files, "bytes": size.bytes or 0, "sensitive": size.sensitive}, "languages": [r.asDict() for r in languages], "kinds": {r.kind: r["count"] for r in kinds}, "ecosystems": ecosystems, "commands": runs, "testFrameworks": tests, "notable": purposes,
-        "signals": marks, "secrets": [r["at"] for r in places], "sensitivePaths": [r.path for r in hidden], "entrypoints": [r.asDict() for r in entries], "docker": bool(has.docker), "gaps": [{"id": g, "priority": p} for g, p, on in gaps if on],
+        "projectKinds": kinds_of, "signals": marks, "secrets": [r["at"] for r in places], "sensitivePaths": [r.path for r in hidden], "entrypoints": [r.asDict() for r in entries], "docker": bool(has.docker), "gaps": [{"id": g, "priority": p} for g, p, on in gaps if on],
     }
 
 
+def project_kinds(sources: DataFrame, contents: DataFrame, found: DataFrame, entries: DataFrame) -> list[str]:
+    """What a tree is, in a fixed order: cli, library, web-app, api-service, monorepo, data, docs-only; several may hold. A dependency
+    counts if its name, or a part of it between signs, is that of a known one. One row of flags reaches the driver."""
+    path = F.col("path")
+    names = found.select(F.explode("dependencies.name").alias("n")).select(F.lower("n").alias("n"))
+    of = lambda known: F.coalesce(F.bool_or(F.exists(F.array(*[F.lit(k) for k in known]), lambda k: (F.col("n") == k) | F.array_contains(F.split("n", "[-/@.:]"), k) | k.contains("/") & F.col("n").contains(k) | k.contains("-") & F.col("n").contains(k))), F.lit(False))
+    a = names.agg(of(fixed.FRONTEND).alias("front"), of(fixed.BACKEND).alias("back")).first()
+    package = contents.where("path = 'package.json'").agg(*[F.coalesce(F.bool_or(F.get_json_object("content", f"$.{k}").isNotNull()), F.lit(False)).alias(k) for k in ("bin", "main", "workspaces")]).first()
+    data = F.col("path").rlike(r"(?i)\.(?:csv|tsv|parquet|jsonl|ndjson|arrow|feather|avro|orc|xlsx?)\z")
+    b = sources.agg(
+        F.coalesce(F.bool_or(path.isin(*fixed.MONOREPO_FILES) | path.rlike(rules.java(fixed.MONOREPO_PACKAGES))), F.lit(False)).alias("mono"), F.count_if(data).alias("data"), F.count_if((F.col("kind") == "source") & ~data).alias("code"), F.count_if(F.col("kind") == "docs").alias("docs")).first()
+    cli = entries.where(path.rlike(r"(?i)^bin/|(?:^|/)(?:cli|__main__)\.\w+\z")).limit(1).count() > 0 or package.bin
+    flags = {"cli": cli, "library": package.main and not package.bin, "web-app": a.front, "api-service": a.back, "monorepo": b.mono or package.workspaces, "data": b.data > b.code, "docs-only": b.code == 0 and b.docs > 0}
+    return [k for k in fixed.PROJECT_KINDS if flags.get(k)]
+
+
 def entry_points(contents: DataFrame) -> DataFrame:
     """path, kind and line of the places where a program begins: by name in the root, src or bin, and by what the text does."""
     path, text = F.col("path"), F.col("content")

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparklode.sources import manifests as M
@@ -33,3 +34,36 @@ def test_manifests(spark):
     assert {(r.name, r.purpose) for r in M.notable(found).collect()} >= {("express", "web framework"), ("rails", "web framework"), ("numpy", "data")}
     assert {r.name for r in M.unpinned(found).where(F.col("path") == "package.json").collect()} == {"express"}
     assert M.manifests(contents.limit(0)).count() == 0
+
+
+def test_project_kinds(spark):
+    from sparklode.sources import manifests as M
+    from sparklode.sources.scan import entry_points, project_kinds
+
+    def kinds(files):
+        rows = spark.createDataFrame([(p, k, "javascript", t) for p, (k, t) in files.items()], "path string, kind string, language string, content string")
+        return project_kinds(rows, rows, M.manifests(rows), entry_points(rows))
+
+    package = '{"name": "a", "main": "x.js", "dependencies": {"@nestjs/core": "1", "react-dom": "1", "lodash": "1"}}'
+    assert kinds({"package.json": ("config", package), "src/x.js": ("source", "1")}) == ["library", "web-app", "api-service"]
+    assert kinds({"package.json": ("config", '{"bin": "b.js", "main": "b.js", "workspaces": ["p/*"]}'), "b.js": ("source", "1")}) == ["cli", "monorepo"]
+    assert kinds({"packages/a/package.json": ("config", "{}"), "lib/x.js": ("source", "1")}) == ["monorepo"]
+    assert kinds({"a.csv": ("asset", "1"), "b.csv": ("asset", "1"), "x.js": ("source", "1")}) == ["data"]
+    assert kinds({"README.md": ("docs", "x")}) == ["docs-only"] and kinds({"src/y.js": ("source", "express")}) == []
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import json
+
+    import sparklode.cli as cli
+
+    (tmp_path / "a.py").write_text("def f():\n    return 1\n")
+    monkeypatch.setattr(cli, "build_session", lambda *a, **k: spark)
+    assert cli.main(["status", str(tmp_path), "--json"]) == 0
+    out = capsys.readouterr().out
+    assert out.count("\n") == 1 and json.loads(out)["analyzed"] is False
+    assert cli.main(["status", str(tmp_path), "--quiet"]) == 0 and capsys.readouterr().out == ""
+    assert cli.main(["ask", str(tmp_path), "what"]) == 2 and "nothing is analyzed" in capsys.readouterr().err
+    for wrong in (["ask", str(tmp_path)], ["status", str(tmp_path), "--limit", "0"], ["dance", str(tmp_path)]):
+        with pytest.raises(SystemExit):
+            cli.main(wrong)

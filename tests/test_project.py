@@ -122,3 +122,17 @@ def test_facts_and_flows_of_configuration(spark, root):
     facts = project.brief()
     assert facts.startswith("# Facts") and "POST /login | src/server.js:13 | express" in facts and "[P0] sensitive-files-present" in facts and "hunter2" not in facts
     assert project.brief(60).endswith("(cut short)") and len(project.brief(60)) <= 60
+
+
+def test_deep_folders_are_listed(spark, tmp_path):
+    want = {}
+    for name in ("a.py", "top/b.py", "top/x/c.py", "top/x/y/z/d.py", "top/_e.py", "top/x/.f.py", "empty/one/"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        if name.endswith("/"):
+            path.mkdir(parents=True, exist_ok=True)
+            continue
+        path.write_text("x" * len(name))
+        want[name] = len(name)
+    assert {r.path: r.bytes for r in tree.listing(spark, str(tmp_path)).collect()} == want
+    assert tree.listing(spark, str(tmp_path / "empty")).count() == 0 and tree.listing(spark, str(tmp_path / "none")).count() == 0
