@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -256,8 +257,9 @@ def words_of(text: str | None) -> list[str]:
     return [w for i in _IDENTIFIERS.findall(text or "") for w in _pieces(i)[0]]
 
 
-_TERM = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
-_FEATURES = T.StructType([T.StructField("terms", T.ArrayType(_TERM)), T.StructField("length", T.IntegerType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+FEATURES = T.StructType([
+    T.StructField("terms", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))),
+    T.StructField("length", T.IntegerType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
 
 def terms_of(text: str | None) -> tuple[list[tuple[str, int]], int]:
@@ -271,12 +273,15 @@ def terms_of(text: str | None) -> tuple[list[tuple[str, int]], int]:
     return sorted(counts.items()), len(words)
 
 
-@F.pandas_udf(_FEATURES)
-def features(texts: pd.Series) -> pd.DataFrame:
-    """terms, length and vector of each text in one pass."""
+def feature_arrays(texts: list[str | None]) -> list[pa.Array]:
+    """The columns of FEATURES for some texts, as Arrow arrays: lists of rows would cost more to convert than to make."""
     held = [terms_of(t) for t in texts]
-    vectors = [(np.floor(np.array(embed_text(t)) * 1e6 + 0.5) / 1e6).tolist() for t in texts]
-    return pd.DataFrame({"terms": [[{"term": w, "tf": n} for w, n in t] for t, _ in held], "length": [n for _, n in held], "vector": vectors})
+    flat = [pair for terms, _ in held for pair in terms]
+    pairs = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.string()), pa.array([n for _, n in flat], pa.int32())], ["term", "tf"])
+    vectors = np.floor(np.array([embed_text(t) for t in texts]).reshape(-1, WIDTH) * 1e6 + 0.5) / 1e6
+    return [
+        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(t) for t, _ in held]], dtype=np.int32)), pairs), pa.array([n for _, n in held], pa.int32()),
+        pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * WIDTH), pa.array(vectors.ravel()))]
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import CJK, WIDTH, embed_text, feature_tokens, features, has_word, occurrences, round6
+from ..functions.text import CJK, FEATURES, WIDTH, embed_text, feature_arrays, feature_tokens, has_word, occurrences, round6
 from .ranking import ranked
 
 #: Order and weight of the kinds of chunks.
@@ -51,7 +52,16 @@ PLACE = ("id", "fileId", "symbolName", "startLine", "endLine", "kind")
 def index_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks ready for search: `terms` with their counts, `length` in words and a hashed `vector`. Store the result: a search reads
     terms and vectors only, and `update_index` carries it over to the next state of the chunks."""
-    return chunks.withColumn("__f", features(F.col("text"))).select("*", "__f.*").drop("__f")
+    rows = chunks.select([c for c in chunks.columns if c not in FEATURES.names])
+    at, names = rows.columns.index("text"), [*rows.columns, *FEATURES.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2_000):
+                part = batch.slice(k, 2_000)
+                yield pa.RecordBatch.from_arrays([*part.columns, *feature_arrays(part.column(at).to_pylist())], names)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema, *FEATURES]))
 
 
 def update_index(old: DataFrame | None, chunks: DataFrame) -> DataFrame:

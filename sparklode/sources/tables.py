@@ -40,9 +40,13 @@ def settled(df: DataFrame, columns: Sequence[str], key: str = "id", at: str = "s
     The hashes of all keys are counted first (one number a row); those that occur more than once set a bit in a filter of fixed
     size. A row whose bit is not set is the only one of its key and stays where it is read. The others, and few that share a bit
     by chance, take the shuffle of `current_rows`: should the repeated keys ever fill the filter, all rows do. For columns that
-    are wide next to the key, such as texts and lists; the table is read twice for it. Nulls and ties as in `current_rows`.
+    are wide next to the key, such as texts and lists; the table is read twice for it. A table of fewer splits than there are cores
+    takes the shuffle of `current_rows` altogether: it is small, and what follows would else run in as few tasks. Nulls and ties as
+    in `current_rows`.
     """
     held = [c for c in columns if c != key]
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        return current_rows(df, held, key, at)
     hashed = F.pmod(F.xxhash64(key), F.lit(slots))
     rows = df.where(F.col(key).isNotNull()).select(*{c: F.col(c) for c in (key, at, *held)}.values())
     repeated = rows.select(F.xxhash64(key).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -219,11 +219,14 @@ def test_settled_rows_are_the_current_rows(spark):
     from sparklode.sources.tables import current_rows, settled
 
     t = datetime(2025, 1, 1)
-    rows = [(f"k{k % 40}" if k % 7 else None, None if k % 5 == 0 else t + timedelta(k), k, f"text {k}", "clash") for k in range(60)] + [("twin", t, 1, "same", "a"), ("twin", t, 1, "same", "b")]
+    rows = [(f"k{k % 40}" if k % 7 else None, None if k in (5, 10, 33) else t + timedelta(k), k, f"text {k}", "clash") for k in range(60)] + [("twin", t, 1, "same", "a"), ("twin", t, 1, "same", "b")]
     df = spark.createDataFrame(rows, "id string, seenAt timestamp_ntz, n int, text string, __word string")
     want = sorted(current_rows(df, ["n", "text"]).collect())
     for slots in (64, 1 << 24):  # in a full filter every row takes the shuffle
         assert sorted(settled(df, ["n", "text"], slots=slots).collect()) == want
+    wide, narrow = df.repartition(8), df.coalesce(1)
+    assert sorted(settled(wide, ["n", "text"]).collect()) == sorted(settled(narrow, ["n", "text"]).collect()) == want
+    assert "BroadcastHashJoin" in settled(wide, ["n"])._jdf.queryExecution().toString() and "BroadcastHashJoin" not in settled(narrow, ["n"])._jdf.queryExecution().toString()
     assert settled(df.limit(0), ["n"]).count() == 0
 
 
