@@ -93,7 +93,7 @@ def entropy(value: str) -> float:
 
 #: Shares of the highest entropy possible: that of a value nothing speaks for, of one with an issuer's prefix, of one that people
 #: choose, who repeat syllables, and of the body of a key block, whose lines can be alike.
-UNNAMED, PREFIX, CHOSEN, BLOCK = 0.8, 0.7, 0.6, 0.5
+UNNAMED, PREFIX, CHOSEN, BLOCK = 0.8, 0.65, 0.5, 0.5
 
 
 def threshold(length: int, alphabet: int, share: float = UNNAMED) -> float:
