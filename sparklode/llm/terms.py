@@ -19,7 +19,7 @@ from ..sources.tables import settled
 #: Tokens of a block: bounds a worker's memory (about 100 bytes a token), never what is counted.
 BLOCK = 1_000_000
 #: A (term, tf) pair held by more than one in HOT_ROWS of all (record, term) pairs is hot. There can't be more than HOT_ROWS of
-#: them whatever the size of the corpus; terms above HOT_LENGTH characters stand for themselves by a digest among them, which
+#: them whatever the size of the corpus; terms above HOT_LENGTH bytes stand for themselves by a digest among them, which
 #: bounds what is broadcast to about 10 MB.
 HOT_ROWS, HOT_LENGTH = 100_000, 100
 #: From this posterior on a term is taken for elite in a record; and the share of the other pairs whose weights lie under the bound
@@ -242,7 +242,7 @@ def score_terms(rows: DataFrame, key: str = "id", terms: str = "terms") -> tuple
 def _joined(held: DataFrame, weights: DataFrame) -> DataFrame:
     """rid, term, tf, df and elite of every pair of a record and a term that `weights` has."""
     pairs_in_all = weights.agg(F.sum("n").alias("n")).first().n or 0
-    short = F.when(F.length("term") <= HOT_LENGTH, F.col("term")).otherwise(F.concat(F.lit("\0"), F.sha2("term", 256)))
+    short = F.when(F.octet_length("term") <= HOT_LENGTH, F.col("term")).otherwise(F.concat(F.lit("\0"), F.sha2("term", 256)))
     hot = weights.where(F.col("n") * HOT_ROWS > pairs_in_all)
     hot = F.broadcast(hot.select(short.alias("__short"), "tf", F.col("df").alias("hot_df"), F.col("elite").alias("hot_elite")))
     pairs = held.select("rid", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("rid", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
